@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +55,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def with_locator(df: DataFrame) -> tuple[DataFrame, str, str]:
     """df with the file and the row number that each row was read from, and those columns' names. A df that does not come from files is written first."""
     file, row = free_name(df, "loc_file"), free_name(df, "loc_row")
-    if "_metadata" in df.columns:
-        df = df.drop("_metadata")
     try:
         out = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
         out.schema
-    except Exception:  # no file behind it, or more than one
+    except AnalysisException:  # no file behind it, or more than one
         out = written(df, "rows").select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     return out, file, row
 

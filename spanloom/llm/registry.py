@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: (query, module); a query's function has its name, and its SQL, if any, is the module's SQL.
 MODULES = [
+    ("op2_exact_dedup", "exact_dedup"),
+    ("op3_simhash_near_dedup", "simhash"),
     ("op7_url_filter", "url_filter"),
     ("op8_mixing", "mixing"),
     ("op9_sharding", "sharding"),
