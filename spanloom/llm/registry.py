@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = [
     ("op2_exact_dedup", "exact_dedup"),
     ("op3_simhash_near_dedup", "simhash"),
+    ("op4_token_output", "token_output"),
     ("op7_url_filter", "url_filter"),
     ("op8_mixing", "mixing"),
     ("op9_sharding", "sharding"),
