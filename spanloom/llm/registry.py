@@ -12,6 +12,7 @@ MODULES = [
     ("op7_url_filter", "url_filter"),
     ("op8_mixing", "mixing"),
     ("op9_sharding", "sharding"),
+    ("op10_byte_bpe", "byte_bpe"),
 ]
 
 
