@@ -15,10 +15,9 @@ def ship_code(spark: SparkSession) -> None:
     if getattr(context, "_spanloom_shipped", False):
         return
     here = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder, "spanloom.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for source in sorted(here.rglob("*.py")):
-                z.write(source, source.relative_to(here.parent))
-        context.addPyFile(str(path))
+    path = Path(tempfile.mkdtemp(prefix="spanloom-code-"), "spanloom.zip")  # executors fetch it later, so it stays
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(here.rglob("*.py")):
+            z.write(source, source.relative_to(here.parent))
+    context.addPyFile(str(path))
     context._spanloom_shipped = True
