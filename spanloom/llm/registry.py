@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..shipping import ship_code
+
 #: (query, module); a query's function has its name, and its SQL, if any, is the module's SQL.
 MODULES = [
     ("op2_exact_dedup", "exact_dedup"),
@@ -16,8 +22,20 @@ MODULES = [
 ]
 
 
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with this package's code sent to the executors first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES}
+    found = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES}
+    return {name: shipped(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
