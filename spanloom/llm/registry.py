@@ -15,6 +15,7 @@ MODULES = [
     ("op2_exact_dedup", "exact_dedup"),
     ("op3_simhash_near_dedup", "simhash"),
     ("op4_token_output", "token_output"),
+    ("op6_toxicity", "toxicity"),
     ("op7_url_filter", "url_filter"),
     ("op8_mixing", "mixing"),
     ("op9_sharding", "sharding"),
