@@ -15,6 +15,7 @@ MODULES = [
     ("op2_exact_dedup", "exact_dedup"),
     ("op3_simhash_near_dedup", "simhash"),
     ("op4_token_output", "token_output"),
+    ("op5_embedding_near_dedup", "embedding_dedup"),
     ("op6_toxicity", "toxicity"),
     ("op7_url_filter", "url_filter"),
     ("op8_mixing", "mixing"),
