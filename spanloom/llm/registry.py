@@ -12,6 +12,7 @@ from ..shipping import ship_code
 
 #: (query, module); a query's function has its name, and its SQL, if any, is the module's SQL.
 MODULES = [
+    ("op1_license_scan", "license_scan"),
     ("op2_exact_dedup", "exact_dedup"),
     ("op3_simhash_near_dedup", "simhash"),
     ("op4_token_output", "token_output"),
