@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .memo import Memo, units
 
+#: Words and pieces that a Python worker remembers.
+WORDS_KEPT = 250_000
 #: Transitions kept; characters encoded at a time; ids decoded at a time.
 MOST_TRANSITIONS, AT_ONCE, IDS_AT_ONCE = 1_000_000, 1 << 20, 1 << 14
 
@@ -116,14 +119,15 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.bytes_of = self.transducer.bytes_of
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
-        self.pieces = Memo(lambda pieces: [self.transducer.encode(p.encode()) for p in pieces])
+        # Both remember ids packed as 32-bit integers.
+        self.pieces = Memo(lambda pieces: [array("i", self.transducer.encode(p.encode())).tobytes() for p in pieces], WORDS_KEPT)
         # Words with the space before them: the pattern has a match's start there.
-        self.words = Memo(lambda words: self._cut([" " + w for w in words]))
+        self.words = Memo(lambda words: self._cut([" " + w for w in words]), WORDS_KEPT)
 
-    def _cut(self, texts: list[str]) -> list[list[int]]:
+    def _cut(self, texts: list[str]) -> list[bytes]:
         found = [self.pattern.findall(t) for t in texts]
         known = self.pieces.learn([p for pieces in found for p in pieces])
-        return [[i for p in pieces for i in known[p]] for pieces in found]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in found]
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text; null is encoded as empty."""
@@ -136,10 +140,8 @@ class Codec:
                 at += 1
             first = self._cut([words[0] for words in split])
             known = self.words.learn([w for words in split for w in words[1:]])
-            for ids, words in zip(first, split, strict=True):
-                for w in words[1:]:
-                    ids += known[w]
-                yield ids
+            for packed, words in zip(first, split, strict=True):
+                yield array("i", packed + b"".join(map(known.__getitem__, words[1:]))).tolist()
 
 
 @lru_cache(maxsize=4)
