@@ -85,7 +85,7 @@ def rule(f):
 
 
 def warnings_sorted(s: SparkSession, d: str) -> DataFrame:
-    return rules.validate(synth.items(s, d), fixed(synth.merged(s, d)), synth.base(s, d), cycles=False)
+    return rules.validate(fixed(synth.items(s, d)), fixed(synth.merged(s, d)), fixed(synth.base(s, d)), cycles=False)
 
 
 def verify_base(s: SparkSession, d: str) -> DataFrame:
