@@ -14,7 +14,6 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -22,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .memo import Memo, units
+from .memo import Memo, held, sliced, units
 
 #: Words and pieces that a Python worker remembers.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
 #: Transitions kept; characters encoded at a time; ids decoded at a time.
-MOST_TRANSITIONS, AT_ONCE, IDS_AT_ONCE = 1_000_000, 1 << 20, 1 << 14
+MOST_TRANSITIONS, AT_ONCE, IDS_AT_ONCE = 300_000, 1 << 20, 1 << 14
 
 
 class Transducer:
@@ -144,9 +143,8 @@ class Codec:
                 yield array("i", packed + b"".join(map(known.__getitem__, words[1:]))).tolist()
 
 
-@lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def _utf8_steps() -> list[list[int]]:
@@ -218,7 +216,7 @@ def encoded_digests(docs: DataFrame, *, path: str, pattern: str = public_tokeniz
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             made = []
             own = codec(path, pattern)
             for ids in own.encode(b.column("text").to_pylist()):

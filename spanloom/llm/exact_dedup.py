@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, UPPER, fold_ascii, new_path, with_locator, written
+from .memo import sliced
 
 #: Bytes of log that one micro-batch takes.
 BATCH_BYTES = 4 << 30
@@ -43,7 +44,7 @@ def with_digest(df: DataFrame, text: str, name: str, digest: Callable[[bytes], b
     schema = T.StructType([T.StructField(name, T.BinaryType()) if f.name == text else f for f in df.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             at = b.schema.get_field_index(text)
             made = pa.array([digest(normalised(t)) for t in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([made if i == at else b.column(i) for i in range(b.num_columns)], [name if i == at else b.schema.names[i] for i in range(b.num_columns)])

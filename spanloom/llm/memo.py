@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Single spaces between other than white space: no pre-tokeniser here joins what stands on both sides.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -30,6 +30,24 @@ class Memo:
         return self.young
 
 
+def sliced(batches: Iterator, rows: int = 256) -> Iterator:
+    """The batches in slices of few rows, so that only their texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What make() gave for this key. A worker keeps one such thing at a time: workers go on from one operator to the next, and what each remembers would add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def units(text: str) -> list[str]:
     """Parts of the text that were joined by single spaces, cut only where both sides are other than white space."""
     return _CUT.split(text) if _WIDE.search(text) else text.split(" ")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from .common import components, written
 from .exact_dedup import BROADCAST_DIGESTS, located_rows, normalised
+from .memo import sliced
 
 WORDS, DISTANCE, HASH_SEED = 3, 3, 42
 #: Codes of one upper node that one task takes, at least; it also takes four times the mean node.
@@ -52,7 +53,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", words: int = WORDS) -> D
     schema = T.StructType([T.StructField("fp", T.LongType()) if f.name == text else f for f in df.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             at = b.schema.get_field_index(text)
             made = pa.array(np.array([fingerprint(t, words) for t in b.column(at).to_pylist()], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([made if i == at else b.column(i) for i in range(b.num_columns)], ["fp" if i == at else b.schema.names[i] for i in range(b.num_columns)])

@@ -9,8 +9,8 @@ among all ids, its documents and its compressed size). Each chunk can be read al
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,16 +20,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .memo import Memo, units
+from .memo import Memo, held, sliced
 
 END_ID = 1
 #: Ids of a block; ids after which a chunk ends at its document's end; characters encoded at a time.
 BLOCK, CHUNK, AT_ONCE = 1 << 15, 1 << 18, 1 << 20
+MARKS = ".,!?;:"
 CHUNK_SCHEMA = "shard int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, planes array<binary>"
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Memo:
+    return held(("encoder", path), lambda: _encoder(path))
+
+
+def _encoder(path: str) -> Memo:
     """Remembers the ids (little-endian unsigned 32 bits) of words. The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in order."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -37,8 +41,17 @@ def encoder(path: str) -> Memo:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    def ask(words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    stems, marks = Memo(ask), dict(zip(MARKS, ask(list(MARKS)), strict=True))
+
     def make(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        # Letters are cut from a mark after them before anything is merged, and case is folded.
+        cut = [(w[:-1], w[-1]) if w[-1:] in marks and w[:-1].isalpha() else (w, "") for w in words]
+        cut = [(s.lower() if s.isascii() else s, m) for s, m in cut]
+        known = stems.learn([s for s, _ in cut])
+        return [known[s] + marks[m] if m else known[s] for s, m in cut]
 
     return Memo(make)
 
@@ -49,7 +62,7 @@ def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
     while at < len(texts):
         split, size = [], 0
         while at < len(texts) and size < AT_ONCE:
-            split.append(units((texts[at] or "").replace("\n", " ")))
+            split.append((texts[at] or "").replace("\n", " ").split(" "))
             size += len(texts[at] or "")
             at += 1
         known = memo.learn([w for words in split for w in words])
@@ -104,7 +117,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str = "doc_
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "chunk", "start", "n_ids", "doc_ids", "lengths", "planes"])
 
         held = 0
-        for b in batches:
+        for b in sliced(batches):
             shard = b.column("shard")[0].as_py() if b.num_rows else shard
             for name, made in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist(), tokenizer), strict=True):
                 names.append(name)

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, written
-from .memo import Memo
+from .memo import Memo, held, sliced
 
 #: The training sample: so many toxic and clean documents at most, by the order of a hash of their ids, and so many characters of them.
-TOXIC_DOCS, CLEAN_DOCS, TRAINING_CHARS = 1500, 3000, 20_000_000
+TOXIC_DOCS, CLEAN_DOCS, TRAINING_CHARS = 1500, 3000, 12_000_000
 LANDMARKS, ROUNDS, THRESHOLD = 320, 3, 0.7
 #: Words of a document that decide on it.
 WORST = 3
@@ -39,6 +39,8 @@ STRONG_LIFT = 3.5
 SPAN, DECAY, PIECE, OVERLAP = 6, 0.5, 32, 12
 #: Character classes: end of word, letters, digits, others by their number.
 CLASSES = 40
+#: Words whose scores a Python worker remembers.
+WORDS_KEPT = 120_000
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 AT_ONCE = 1 << 20
 _SPELLED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
@@ -107,20 +109,20 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, slopes: np.ndarray):
         self.weights, self.bias, self.slopes, self.id = weights, bias, slopes, uuid.uuid4().hex
 
-    def score_words(self, words: list[str]) -> list[float]:
-        cut = [pieces(w) for w in words]
-        flat = Triples([p for ps in cut for p in ps]).dot(self.weights) + self.bias
-        if len(flat) == len(words):
-            return flat.tolist()
-        first = np.cumsum([0] + [len(ps) for ps in cut[:-1]])
-        return np.maximum.reduceat(flat, first).tolist()
+    def score_words(self, words: list[str], at_once: int = 20_000) -> list[float]:
+        out: list[float] = []
+        for at in range(0, len(words), at_once):
+            cut = [pieces(w) for w in words[at : at + at_once]]
+            flat = Triples([p for ps in cut for p in ps]).dot(self.weights) + self.bias
+            out += np.maximum.reduceat(flat, np.cumsum([0] + [len(ps) for ps in cut[:-1]])).tolist()
+        return out
 
     def probability(self, scores: list[float]) -> float:
         """That a document with words of these scores (repeats count once) is toxic."""
         return float(1 / (1 + np.exp(-np.clip(worst_words(heapq.nlargest(WORST, set(scores))) @ self.slopes, -40, 40))))
 
 
-def to_landmarks(words: list[str], columns: np.ndarray, at_once: int = 2000) -> np.ndarray:
+def to_landmarks(words: list[str], columns: np.ndarray, at_once: int = 500) -> np.ndarray:
     """Kernel values of words to the landmarks whose features are the columns."""
     return np.concatenate([Triples(words[i : i + at_once]).dot(columns) for i in range(0, len(words), at_once)])
 
@@ -175,6 +177,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
 
     # Words that come in many toxic documents and next to no clean ones are guilty whatever stands beside them. Near copies
     # count once: documents with the same three smallest hashes of words.
+    del table, here, feature, of
     hashes = np.array([[zlib.crc32(f"{turn}{w}".encode()) for turn in "abc"] for w in names])
     key = [(bool(t), *hashes[b].min(axis=0).tolist()) for b, t in zip(bags, toxic, strict=True)]
     single = np.array(sorted({k: d for d, k in enumerate(key)}.values()))
@@ -206,21 +209,23 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
         share = np.r_[weight / weight.sum() / 3, np.full(len(bent), 1 / len(bent) / 6), np.minimum(blame, 20) / np.minimum(blame, 20).sum() / 2]
         v = fit_machine(x, np.r_[np.ones(len(guilty) + len(bent)), -np.ones(len(rest))], share)
         weights, bias = columns @ (root @ v[:-1]), v[-1]
-        score = table.dot(weights) + bias
-    # Platt's fit of a probability, with his smoothed targets, to the scores of the documents' worst words.
+        score = np.concatenate([Triples(names[i : i + 20_000]).dot(weights) for i in range(0, len(names), 20_000)]) + bias
+    # Platt's fit of a probability, with his smoothed targets, to the scores of the documents' worst words. Toxic documents
+    # weigh more where they are few, up to three times.
     aim = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
+    share = np.where(toxic, np.clip((~toxic).sum() / toxic.sum(), 1, 3), 1.0)
     z = np.array([worst_words(score[bag]) for bag in bags])
     slopes = np.zeros(WORST + 1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ slopes, -40, 40)))
-        slopes += np.clip(np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 0.1 * np.eye(WORST + 1), z.T @ (aim - p) - 0.1 * slopes), -2, 2)
+        slopes += np.clip(np.linalg.solve((z * (share * p * (1 - p) + 1e-6)[:, None]).T @ z + 0.1 * np.eye(WORST + 1), z.T @ (share * (aim - p)) - 0.1 * slopes), -2, 2)
     return Model(weights, float(bias), slopes)
 
 
 def worst_words(scores) -> np.ndarray:
     """The highest scores of a document's distinct words, within the margins' reach, and a constant."""
     top = np.sort(np.asarray(scores, float))[::-1][:WORST]
-    return np.r_[np.clip(top, -2, 2), np.full(WORST - len(top), -2.0), 1.0]
+    return np.r_[np.clip(top, -2, 4), np.full(WORST - len(top), -2.0), 1.0]
 
 
 def held_out(doc_id) -> object:
@@ -251,9 +256,6 @@ def hash_order(key: object) -> tuple:
     return zlib.crc32(f"order:{key}".encode()), str(key)
 
 
-_MEMOS: dict[str, Memo] = {}
-
-
 def with_score(docs: DataFrame, model: Model, name: str = "score", *, text: str = "text") -> DataFrame:
     """docs with the double column `name`: the model's probability that the whole text is toxic. Null and empty texts have a score, too."""
     model_of = docs.sparkSession.sparkContext.broadcast(model)  # one weight per triple, whatever the input
@@ -261,11 +263,8 @@ def with_score(docs: DataFrame, model: Model, name: str = "score", *, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_of.value
-        if own.id not in _MEMOS:
-            _MEMOS.clear()
-            _MEMOS[own.id] = Memo(own.score_words)
-        memo = _MEMOS[own.id]
-        for b in batches:
+        memo = held(("toxicity", own.id), lambda: Memo(own.score_words, WORDS_KEPT))
+        for b in sliced(batches):
             texts, made, at = b.column(b.schema.get_field_index(text)).to_pylist(), [], 0
             while at < len(texts):
                 split, size = [], 0
