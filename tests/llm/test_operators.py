@@ -260,3 +260,86 @@ def test_license_scan(spark, odd):
     assert (row["sentence_ids"], row["licenses"], row["unmatched"]) == (["gpl3", "gpl-any-later", "reserved"], ["GPL-3.0-or-later", "Proprietary"], [])
     assert {tuple(r["licenses"]) for r in license_scan.scan(odd).collect()} == {()}
     assert license_scan.scan(odd.limit(0)).count() == 0
+
+
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+MIT = f"""MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+{WARRANTY}
+"""
+ISC = """Copyright (c) 2004-2010 by Some Consortium
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES."""
+GNU = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {0}General Public License as published by
+ * the Free Software Foundation, either version {1} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY.
+ */"""
+BSD2 = """Copyright (c) 2015, Some Firm, Inc.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = "\n3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+MPL = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/."
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software"""
+NOTICES = [
+    (MIT, "MIT"), (MIT.replace("\n", "\r\n"), "MIT"), (ISC, "ISC"), (ISC.replace("THE AUTHOR", "SOME CONSORTIUM").replace("and/or", "and"), "ISC"),
+    (GNU.format("", 3), "GPL-3.0-or-later"), (GNU.format("", 2), "GPL-2.0-or-later"), (GNU.format("Affero ", 3), "AGPL-3.0-or-later"), (GNU.format("Lesser ", 3), "LGPL-3.0-or-later"),
+    (GNU.format("Lesser ", "2.1").replace("program", "library"), "LGPL-2.1-or-later"),
+    (BSD2, "BSD-2-Clause"), (BSD2 + BSD3.format("the copyright holder"), "BSD-3-Clause"), (BSD2 + BSD3.format("Some Firm, Inc."), "BSD-3-Clause"), (BSD2.replace("All rights reserved.", "") + BSD3.format("the copyright holder"), "BSD-3-Clause"),
+    (MPL, "MPL-2.0"), (APACHE, "Apache-2.0"), ("Intro without a mark\nAll rights reserved.", "Proprietary"), ("Released under.\n\nThe MIT License.", ""),
+]
+
+
+def test_license_scan_finds_genuine_wrapped_notices(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r["doc_id"]: ",".join(r["licenses"]) for r in license_scan.scan(rows).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == [x for _, x in NOTICES]
+    # Each rule fires on its own sentences, wrapped after every word and with other words for the wild ones.
+    known = license_scan.SENTENCES | license_scan.NOTICES
+    texts = [(i, "\n\n".join(known[n].replace("*", "any two").replace(" ", "\n") for n in names)) for i, (_, names) in enumerate(license_scan.RULES)]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [[x] for x, _ in license_scan.RULES]
