@@ -66,6 +66,7 @@ s as (select name, unnest(refs) as ref, generate_subscripts(refs, 1) - 1 as ord
 e as (select name as dependent, ref, ord from s),
 ids as (select name as id from m union select ref from e where starts_with(ref, 'source.'))"""
 ROOTS = "(select name from m where layer = 'aggregate')"
+ALL = "(select id from ids)"
 
 
 def reach(src: str, dst: str, roots: str) -> str:
@@ -157,6 +158,8 @@ def oracle_sql() -> dict[str, str]:
         "dependents": q(EDGES, select="select ref, string_agg(dependent, ',' order by dependent) as dependents, count(*) as n from e where ref in (select id from ids) group by 1"),
         "downstream": q(EDGES, dist("ref", "dependent", ROOTS), select="select * from d", recursive=True),
         "upstream": q(EDGES, dist("dependent", "ref", ROOTS), select="select * from d", recursive=True),
+        "downstream_all": q(EDGES, dist("ref", "dependent", ALL), select="select * from d", recursive=True),
+        "upstream_all": q(EDGES, dist("dependent", "ref", ALL), select="select * from d", recursive=True),
         "impact_counts": q(EDGES, reach("ref", "dependent", "(select name from m)"), ", k as (select root, node, row_number() over (partition by root order by node) as k from r)", select="select m.name, coalesce((select count(*) from r where r.root = m.name), 0) as n_downstream, coalesce((select count(distinct dependent) from e where e.ref = m.name), 0) as n_direct, coalesce((select string_agg(node, ', ' order by node) from k where k.root = m.name and k <= 10), '') as first from m", recursive=True),
         "cycle_nodes": q(EDGES, reach("dependent", "ref", "(select name from m)"), select="select root as name from r where root = node", recursive=True),
         "dag_level": q(EDGES, ", inner_e as (select dependent, ref from e where ref in (select name from m))", reach("dependent", "ref", "(select name from m)").replace("from e ", "from inner_e e ").replace("join e ", "join inner_e e "), ", bad as (select distinct root from r where root = node union select r.root from r join r c on c.root = r.node and c.node = c.root), lv(name, level) as (select name, 0 from m where name not in (select root from bad) union select e.dependent, lv.level + 1 from lv join inner_e e on e.ref = lv.name where e.dependent not in (select root from bad))", select="select name, max(level)::int as level from lv group by 1", recursive=True),
@@ -181,6 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "lineage_nodes": q(ITEMS, EDGES, ", " + lineage, select="select id, layer, status from l"),
         "lineage_edges": q(ITEMS, EDGES, ", " + lineage, select="select ref as source, dependent as target from e where ref in (select id from l) and dependent in (select id from l)"),
         "ego_view": q(EDGES, reach("ref", "dependent", ROOTS), reach("dependent", "ref", ROOTS).replace(" r(", " t(").replace("select r.root", "select t.root").replace("from r join", "from t join").replace("= r.node", "= t.node"), select=f"select name as root, (select count(*) from t where t.root = name) as n_up, (select count(*) from r where r.root = name) as n_down from {ROOTS}", recursive=True),
+        "ego_view_all": q(EDGES, reach("ref", "dependent", ALL), reach("dependent", "ref", ALL).replace(" r(", " t(").replace("select r.root", "select t.root").replace("from r join", "from t join").replace("= r.node", "= t.node"), select=f"select id as root, (select count(*) from t where t.root = id) as n_up, (select count(*) from r where r.root = id) as n_down from {ALL}", recursive=True),
         "path_edges": q(EDGES, reach("ref", "dependent", "('int_m6')"), reach("dependent", "ref", "('int_m6')").replace(" r(", " t(").replace("select r.root", "select t.root").replace("from r join", "from t join").replace("= r.node", "= t.node"), ", a as (select node as id from r union select node from t union select 'int_m6')", select="select ref as source, dependent as target from e where ref in (select id from a) and dependent in (select id from a)", recursive=True),
         "node_search": q(ITEMS, EDGES, ", " + lineage, select="select id from l where contains(lower(id), 'm1')"),
     }

@@ -72,10 +72,15 @@ def name_core(s: SparkSession, d: str) -> DataFrame:
 
 
 def some(s: SparkSession, d: str) -> DataFrame:
-    """Roots of the closures: aggregates."""
+    """Roots of downstream, upstream and ego_view: aggregates, a fifth of the models. The queries named _all start from all nodes."""
     return synth.merged(s, d).where("layer = 'aggregate'").select(F.col("name").alias("root"))
 
 
+def ego_view_all(s: SparkSession, d: str) -> DataFrame:
+    models = fixed(synth.merged(s, d))
+    return views.ego(models, fixed(graph.nodes(models).select(F.col("id").alias("root"))))
+
+
 def declared_and_all(s: SparkSession, d: str) -> DataFrame:
     return synth.merged(s, d).unionByName(synth.yaml_models(s))
 
@@ -119,6 +124,8 @@ def queries() -> dict:
         "dependents": lambda s, d: graph.dependents(m(s, d)).select("ref", F.array_join("dependents", ",").alias("dependents"), "n"),
         "downstream": lambda s, d: graph.downstream(fixed(m(s, d)), some(s, d)),
         "upstream": lambda s, d: graph.upstream(fixed(m(s, d)), some(s, d)),
+        "downstream_all": lambda s, d: graph.downstream(fixed(m(s, d))),
+        "upstream_all": lambda s, d: graph.upstream(fixed(m(s, d))),
         "impact_counts": lambda s, d: graph.impact(fixed(m(s, d))),
         "cycle_nodes": lambda s, d: graph.cycle_nodes(fixed(m(s, d))),
         "dag_level": lambda s, d: graph.levels(fixed(m(s, d))),
@@ -143,6 +150,7 @@ def queries() -> dict:
         "lineage_nodes": lambda s, d: views.lineage_nodes(i(s, d), m(s, d)).select("id", "layer", "status"),
         "lineage_edges": lambda s, d: views.lineage_edges(i(s, d), m(s, d)),
         "ego_view": lambda s, d: views.ego(fixed(m(s, d)), some(s, d)),
+        "ego_view_all": ego_view_all,
         "path_edges": lambda s, d: views.path_edges(fixed(m(s, d)), "int_m6"),
         "node_search": lambda s, d: views.search(views.lineage_nodes(i(s, d), m(s, d)), " M1 ").select("id"),
         # Without SQL: similarity by matching blocks, order by a heap, walks, and prose.

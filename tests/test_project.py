@@ -1,6 +1,8 @@
 import random
 
 from spanloom.operators import catalog, diff, graph, match, rules, verify, views
+from spanloom.plans import queries
+from spanloom.sources import synth
 
 FILES = "project string, path string, text string, scan_ord long"
 
@@ -78,3 +80,31 @@ def test_rules(spark):
     assert {("BROKEN_REF", "stg_new", "nowhere"), ("DEAD_MODEL", "Bad-Name", ""), ("NAME", "Bad-Name", "case"), ("NAME", "Bad-Name", "separator")} <= got
     empty = items.limit(0)
     assert rules.validate(empty, every.limit(0), base.limit(0)).count() == 0
+
+
+def test_registered_closures_start_from_all_nodes(spark, tmp_path):
+    spark.range(1, 61).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    every = synth.merged(spark, str(tmp_path))
+    names = {r["name"] for r in every.collect()}
+    below, above = {}, {}
+    for r in graph.edges(every).collect():
+        below.setdefault(r["ref"], set()).add(r["dependent"])
+        above.setdefault(r["dependent"], set()).add(r["ref"])
+    sources = {x for x in below if x.startswith("source.")}
+
+    def walk(steps, roots):
+        found = set()
+        for root in roots:
+            new, dist, seen = steps.get(root, set()), 1, set()
+            while new := new - seen:
+                found |= {(root, n, dist) for n in new}
+                seen |= new
+                new, dist = set().union(*(steps.get(n, set()) for n in new)), dist + 1
+        return found
+
+    q = queries.queries()
+    down, up = walk(below, names | sources), walk(above, names)
+    assert sources and {tuple(r) for r in q["downstream_all"](spark, str(tmp_path)).collect()} == down
+    assert {tuple(r) for r in q["upstream_all"](spark, str(tmp_path)).collect()} == up
+    got = {r["root"]: (r["n_up"], r["n_down"]) for r in q["ego_view_all"](spark, str(tmp_path)).collect()}
+    assert got == {n: (sum(p[0] == n for p in up), sum(p[0] == n for p in down)) for n in names | sources}
