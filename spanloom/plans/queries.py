@@ -90,9 +90,15 @@ def rule(f):
 
 
 def warnings_sorted(s: SparkSession, d: str) -> DataFrame:
+    """The warnings that SQL expresses: without cycles and undeclared sources, which warnings_all has."""
     return rules.validate(fixed(synth.items(s, d)), fixed(synth.merged(s, d)), fixed(synth.base(s, d)), cycles=False)
 
 
+def warnings_all(s: SparkSession, d: str) -> DataFrame:
+    """The whole validation: cycles too, and sources against what the YAML file declares."""
+    return rules.validate(fixed(synth.items(s, d)), fixed(declared_and_all(s, d)), fixed(synth.base(s, d)))
+
+
 def verify_base(s: SparkSession, d: str) -> DataFrame:
     """The base after half of the work: what has an even number was created, columns were appended for every fourth."""
     b, w = synth.base(s, d), synth.workspace(s, d)
@@ -153,7 +159,8 @@ def queries() -> dict:
         "ego_view_all": ego_view_all,
         "path_edges": lambda s, d: views.path_edges(fixed(m(s, d)), "int_m6"),
         "node_search": lambda s, d: views.search(views.lineage_nodes(i(s, d), m(s, d)), " M1 ").select("id"),
-        # Without SQL: similarity by matching blocks, order by a heap, walks, and prose.
+        # Without SQL: similarity by matching blocks, order by a heap, walks (of cycles in warnings_all, too), and prose.
+        "warnings_all": warnings_all,
         "rename_match": lambda s, d: match.renames(fixed(rules_orphans(s, d)), fixed(rules_free(s, d))),
         "topo_order": lambda s, d: graph.topo_order(fixed(i(s, d)), fixed(m(s, d))),
         "order_meta": lambda s, d: views.order_meta(fixed(i(s, d)), fixed(m(s, d))),

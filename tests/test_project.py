@@ -108,3 +108,38 @@ def test_registered_closures_start_from_all_nodes(spark, tmp_path):
     assert {tuple(r) for r in q["upstream_all"](spark, str(tmp_path)).collect()} == up
     got = {r["root"]: (r["n_up"], r["n_down"]) for r in q["ego_view_all"](spark, str(tmp_path)).collect()}
     assert got == {n: (sum(p[0] == n for p in up), sum(p[0] == n for p in down)) for n in names | sources}
+
+
+def test_warnings_all_has_cycles_and_undeclared_sources(spark, tmp_path):
+    d = str(tmp_path)
+    spark.range(1, 241).withColumnRenamed("id", "p_partkey").write.parquet(f"{d}/part.parquet")
+    got = [tuple(r[c] for c in ("severity", "label", "code", "model", "detail")) for r in queries.queries()["warnings_all"](spark, d).orderBy("ord").collect()]
+    less = [tuple(r[c] for c in ("severity", "label", "code", "model", "detail")) for r in queries.queries()["warnings_sorted"](spark, d).orderBy("ord").collect()]
+    assert [r for r in got if r[2] not in ("DAG_CYCLE", "UNDECLARED_SOURCE")] == less
+    undeclared = {
+        (r["name"], f"source.{x['schema']}.{x['table']}")
+        for r in synth.items(spark, d).collect()
+        if r["status"] != "IGUAL" and (r["policy_action"] in ("create", "append") or r["status"] == "NOVO")
+        for x in r["sources"]
+        if int(x["table"][1:]) >= synth.DECLARED
+    }
+    assert undeclared and {r[3:] for r in got if r[2] == "UNDECLARED_SOURCE"} == undeclared
+    refs = {}
+    for r in graph.edges(synth.merged(spark, d)).collect():
+        refs.setdefault(r["dependent"], set()).add(r["ref"])
+    cycles = [r for r in got if r[2] == "DAG_CYCLE"]
+    assert cycles and got[0][0] == "critical" and {r[0] for r in cycles} == {"critical"}
+    seen = set()
+    for *_, model, path in cycles:
+        way = path.split(" → ")
+        assert way[0] == way[-1] and model == min(way) and all(b in refs[a] for a, b in zip(way, way[1:], strict=False))
+        seen |= set(way)
+
+    def returns(node):
+        new, reached = set(refs.get(node, ())), set()
+        while new := new - reached:
+            reached |= new
+            new = set().union(*(refs.get(n, ()) for n in new))
+        return node in reached
+
+    assert seen <= {n for n in refs if returns(n)} and len(got) == len(less) + len(cycles) + len(undeclared)
