@@ -240,14 +240,15 @@ def train_on(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     order = [F.xxhash64("id"), "id"]
     ids = marked.where("y = 1").orderBy(*order).limit(TOXIC_DOCS).unionByName(marked.where("y = 0").orderBy(*order).limit(CLEAN_DOCS))
     ids = F.broadcast(written(ids, "toxicity-ids"))  # at most TOXIC_DOCS + CLEAN_DOCS rows
-    rows = written(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id").select("id", "y", "text", F.length(F.coalesce("text", F.lit(""))).alias("n")), "toxicity-sample")
-    keys = sorted(rows.select("id", "y", "n").distinct().collect(), key=lambda r: hash_order(r["id"]))
-    total, take = 0, set()
-    for r in keys:
+    # Each text of an id once. Only lengths are collected before the ids are chosen, and then only texts within the budget.
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id").select("id", "y", "text").distinct()
+    rows = written(rows.withColumn("n", F.length(F.coalesce("text", F.lit("")))), "toxicity-sample")
+    total, take = 0, []
+    for r in sorted(rows.groupBy("id").agg(F.sum("n").alias("n")).collect(), key=lambda r: hash_order(r["id"])):
         if total + r["n"] <= TRAINING_CHARS:
             total += r["n"]
-            take.add(r["id"])
-    found = [(r["id"], r["text"], r["y"]) for r in rows.collect() if r["id"] in take] if total <= TRAINING_CHARS else []
+            take.append(r["id"])
+    found = [(r["id"], r["text"], r["y"]) for r in rows.where(F.col("id").isin(take)).select("id", "text", "y").collect()] if take else []
     found.sort(key=lambda r: (hash_order(r[0]), r[1] or ""))
     return train([t for _, t, _ in found], [y for _, _, y in found])
 

@@ -172,6 +172,20 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.with_score(odd, toxicity.train([], [])).collect()} == {toxicity.train([], []).probability([0.0])}
 
 
+def test_toxicity_collects_within_its_budget(spark, monkeypatch):
+    rows = [(0, f"{i:02} " + "ba do ke li " * 4) for i in range(30)] + [(1, "long " * 1000)] + [(i, f"mu ra so te {i:02}") for i in range(3, 30)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    kept = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert {0, 1} <= set(kept)
+    seen, trained, collect = [], [], type(docs).collect
+    monkeypatch.setattr(toxicity, "TRAINING_CHARS", 1000)
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: trained.append(sorted(texts)))
+    monkeypatch.setattr(type(docs), "collect", lambda self: (out := collect(self), seen.extend(r["text"] for r in out if "text" in r))[0])
+    toxicity.train_on(docs, labels)
+    assert trained[0] == sorted(f"mu ra so te {i:02}" for i in kept if i > 2) and sum(map(len, seen)) <= 1000
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.org/es/1", "http://example.org/en/12", "http://badexample.org/es/1", "http://x.com/fr/1?/de/", "x.com/fr/1", None, "http://com/de/", "http://org", "http://a.org?q=/", "http://x.net/de/"]
     got = [(r["host"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.rule_table(spark)).orderBy("page_id").collect()]
