@@ -9,6 +9,7 @@ among all ids, its documents and its compressed size). Each chunk can be read al
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -29,17 +30,20 @@ MARKS = ".,!?;:"
 CHUNK_SCHEMA = "shard int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, planes array<binary>"
 
 
-def encoder(path: str) -> Memo:
-    return held(("encoder", path), lambda: _encoder(path))
+def encoder(path: str, added: bool) -> Memo:
+    return held(("encoder", path, added), lambda: _encoder(path, added))
 
 
-def _encoder(path: str) -> Memo:
-    """Remembers the ids (little-endian unsigned 32 bits) of words. The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in order."""
+def _encoder(path: str, added: bool) -> Memo:
+    """Remembers the ids (little-endian unsigned 32 bits) of words. The tokenizer drops white space and joins nothing across it, and its added tokens have none inside, so a text's ids are its words' ids in order."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = not added
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    if not all(t.startswith("<|") and not re.search(r"[ \n]", t) for t in special):
+        raise ValueError("an added token that does not start with '<|', or holds white space")
 
     def ask(words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -49,16 +53,17 @@ def _encoder(path: str) -> Memo:
     def make(words: list[str]) -> list[bytes]:
         # Letters are cut from a mark after them before anything is merged, and case is folded.
         cut = [(w[:-1], w[-1]) if w[-1:] in marks and w[:-1].isalpha() else (w, "") for w in words]
-        cut = [(s.lower() if s.isascii() else s, m) for s, m in cut]
+        # Added tokens are found in the text as it is written: words with '<|' are left to the library, which finds '<|endoftext|>' but not '<|ENDOFTEXT|>'.
+        cut = [(s.lower() if s.isascii() and "<|" not in s else s, m) for s, m in cut]
         known = stems.learn([s for s, _ in cut])
         return [known[s] + marks[m] if m else known[s] for s, m in cut]
 
     return Memo(make)
 
 
-def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Ids of each text, packed. Null is encoded as empty."""
-    memo, at = encoder(path), 0
+def encode(texts: list[str | None], path: str, *, added: bool = False) -> Iterator[bytes]:
+    """Ids of each text, packed. Null is encoded as empty. added: strings of added tokens in a text are these tokens, as by the library's default; else they are ordinary text."""
+    memo, at = encoder(path, added), 0
     while at < len(texts):
         split, size = [], 0
         while at < len(texts) and size < AT_ONCE:
@@ -119,7 +124,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str = "doc_
         held = 0
         for b in sliced(batches):
             shard = b.column("shard")[0].as_py() if b.num_rows else shard
-            for name, made in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist(), tokenizer), strict=True):
+            for name, made in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist(), tokenizer, added=True), strict=True):
                 names.append(name)
                 ids.append(made + end)
                 held += len(made) // 4 + 1

@@ -133,6 +133,22 @@ def test_token_ids(spark, odd, tmp_path):
     assert token_output.read_ids(spark, str(tmp_path / "none")).count() == 0
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "Foo<|endoftext|>Bar. <|startoftext|>baz,", "x.<|endoftext|>, <|endoftext|>\n<|startoftext|><|endoftext|>!", "<|ENDOFTEXT|> <|endoftext| > <|EndOfText|>x É<|endoftext|>É", "<|endoftext|>'s it'<|endoftext|>s 12<|startoftext|>34 <|<|endoftext|>|>", "a\t<|endoftext|>\u00a0b\r\n<|endoftext|>\u0301 e\u0301"]
+
+
+def test_token_ids_of_added_tokens_are_the_librarys(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    ids = [library.encode(t, add_special_tokens=False).ids for t in SPECIAL]
+    assert ids[0] == [320, 49407, 321]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_output.encode(SPECIAL, path, added=True)] == ids
+    token_output.write_ids(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string"), str(tmp_path / "t"), tokenizer=path)
+    got = sorted(token_output.read_ids(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [[*x, 1] for x in ids]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 24))
