@@ -143,3 +143,14 @@ def test_warnings_all_has_cycles_and_undeclared_sources(spark, tmp_path):
         return node in reached
 
     assert seen <= {n for n in refs if returns(n)} and len(got) == len(less) + len(cycles) + len(undeclared)
+
+
+def test_warnings_are_numbered_without_one_task_for_all(spark, tmp_path):
+    spark.range(1, 241).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.queries()["warnings_sorted"](spark, str(tmp_path))
+    rows = found.orderBy("ord").collect()
+    rank = {"critical": 0, "warning": 1, "info": 2}
+    assert [r["ord"] for r in rows] == list(range(1, len(rows) + 1))
+    assert [(rank.get(r["severity"], 3), r["model"]) for r in rows] == sorted((rank.get(r["severity"], 3), r["model"]) for r in rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window" in x and "severity" in x] and "row_number" not in plan
