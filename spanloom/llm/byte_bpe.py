@@ -5,7 +5,8 @@ token that was just completed and the trie node of the one under way; a token ma
 after one with which the two together encode to just these two (which makes whole sequences right, too). A state of
 the deterministic transducer is the set of paths still alive, each with the ids on which the paths do not
 agree yet; ids on which all agree are emitted at once, so the lookahead is bounded by the longest token.
-States and their transitions are made when first met, kept up to a limit, and then forgotten.
+States and their transitions are made when first met, kept up to a limit, and then forgotten. Whether a token may
+follow another is told from the merges that made both, without merging their bytes again.
 """
 
 from __future__ import annotations
@@ -21,29 +22,36 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .memo import Memo, held, sliced, units
+from .memo import Memo, held, sliced, uncollected, units
 
-#: Words and pieces that a Python worker remembers.
-WORDS_KEPT = 150_000
+#: Words that a Python worker remembers (twice as many at most), and the longest of them.
+WORDS_KEPT, LONGEST_KEPT = 250_000, 64
 #: Transitions kept; characters encoded at a time; ids decoded at a time.
-MOST_TRANSITIONS, AT_ONCE, IDS_AT_ONCE = 300_000, 1 << 20, 1 << 14
+MOST_TRANSITIONS, AT_ONCE, IDS_AT_ONCE = 600_000, 1 << 20, 1 << 14
+#: Marks that the pattern cuts from letters before them.
+MARKS = ".,!?;:"
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        #: Trie edges by node * 256 + byte, and each node's token.
+        #: Trie edges by node * 256 + byte, each node's token, and whether it has edges.
         self.edges: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
+        self.token_at, self.inner = array("i", [-1]), bytearray(1)
         for data, rank in ranks.items():
             self.bytes_of[rank] = data
             node = 0
             for b in data:
-                node = self.edges.setdefault(node << 8 | b, len(self.token_at))
-                if node == len(self.token_at):
+                child = self.edges.setdefault(node << 8 | b, len(self.token_at))
+                if child == len(self.token_at):
                     self.token_at.append(-1)
+                    self.inner.append(0)
+                    self.inner[node] = 1
+                node = child
             self.token_at[node] = rank
+        #: By token: the two tokens whose merge makes it, () for a single byte, None if merging its bytes does not give it.
+        self.halves: dict[int, tuple[int, int] | tuple[()] | None] = {}
         self.fits: dict[int, bool] = {}
         self._forget()
 
@@ -51,46 +59,90 @@ class Transducer:
         # A path: (token just completed or -1, node, ids not emitted yet).
         self.states: list[tuple] = [((-1, 0, ()),)]
         self.number = {self.states[0]: 0}
-        self.next: dict[int, tuple[int, tuple]] = {}
+        #: By state * 256 + byte: twice the next state, plus one if something is emitted, and that.
+        self.next: dict[int, int] = {}
+        self.out: dict[int, tuple] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Ids of the bytes by merging the pair of lowest rank, the first of equals, again and again."""
+    def _merge(self, data: bytes) -> Iterator[list[bytes]]:
+        """The parts of the bytes before each merge of the pair of lowest rank, the first of equals, and after the last."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], len(self.bytes_of)), i) for i in range(len(parts) - 1))
-            if rank == len(self.bytes_of):
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        none = len(self.bytes_of)
+        while True:
+            yield parts
+            rank, i = min(((self.ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1)), default=(none, 0))
+            if rank == none:
+                return
+            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+
+    def merged(self, data: bytes) -> list[int]:
+        """Ids of the bytes by merging, without the transducer."""
+        *_, parts = self._merge(data)
         return [self.ranks[p] for p in parts]
 
+    def _halves(self, token: int) -> tuple:
+        if (found := self.halves.get(token, 0)) == 0:
+            *before, last = self._merge(self.bytes_of[token])
+            found = None if len(last) > 1 else tuple(self.ranks[p] for p in before[-1]) if before else ()
+            # Merges of a trained vocabulary have lower ranks than what they lead to; a token of another kind is never taken inside.
+            if found and max(found) > token:
+                raise ValueError(f"token {token} has a lower rank than what it is merged from")
+            self.halves[token] = found
+        return found
+
     def _may_follow(self, before: int, token: int) -> bool:
-        key = (before + 1) << 32 | token
-        if (found := self.fits.get(key)) is None:
-            if len(self.fits) > MOST_TRANSITIONS:
-                self.fits.clear()
-            pair = [token] if before < 0 else [before, token]
-            found = self.fits[key] = self.merged(b"".join(self.bytes_of[t] for t in pair)) == pair
+        """Whether merging the bytes of both gives just these two.
+
+        It does unless, when both are taken apart again from their latest merge on, the tokens that meet between them
+        would have been merged earlier. Of equal ranks the merge further left is the earlier one.
+        """
+        if len(self.fits) > MOST_TRANSITIONS:
+            self.fits.clear()
+        found = self._halves(token) is not None
+        if found and before >= 0:
+            left, right, limit = before, token, len(self.bytes_of)
+            while True:
+                if self.ranks.get(self.bytes_of[left] + self.bytes_of[right], limit) < limit:
+                    found = False
+                    break
+                of_left, of_right = self._halves(left), self._halves(right)
+                if of_left and (not of_right or left > right):
+                    limit, left = left, of_left[1]
+                elif of_right:
+                    limit, right = right + 1, of_right[0]
+                else:
+                    break
+        self.fits[(before + 1) << 32 | token] = found
         return found
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        paths = []
+    def _step(self, state: int, byte: int) -> int:
+        edges, token_at, inner, fits, paths = self.edges, self.token_at, self.inner, self.fits, []
         for before, node, ids in self.states[state]:
-            if (child := self.edges.get(node << 8 | byte)) is None:
+            if (child := edges.get(node << 8 | byte)) is None:
                 continue
-            paths.append((before, child, ids))
-            token = self.token_at[child]
-            if token >= 0 and self._may_follow(before, token):
-                paths.append((token, 0, (*ids, token)))
-        shared = 0
-        while all(len(p[2]) > shared for p in paths) and len({p[2][shared] for p in paths}) == 1:
-            shared += 1
-        out = paths[0][2][:shared] if paths else ()
-        key = tuple(sorted((before, node, ids[shared:]) for before, node, ids in paths))
+            if inner[child]:
+                paths.append((before, child, ids))
+            if (token := token_at[child]) >= 0:
+                if (fit := fits.get((before + 1) << 32 | token)) is None:
+                    fit = self._may_follow(before, token)
+                if fit:
+                    paths.append((token, 0, (*ids, token)))
+        out: tuple = ()
+        if paths and (first := paths[0][2]):
+            shared = len(first)
+            for p in paths:
+                if p[2][:shared] != first[:shared]:
+                    shared = next(i for i in range(shared) if p[2][i : i + 1] != first[i : i + 1])
+            if shared:
+                out, paths = first[:shared], [(before, node, ids[shared:]) for before, node, ids in paths]
+        paths.sort()
+        key = tuple(paths)
         if (to := self.number.get(key)) is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        self.next[state << 8 | byte] = to, out
-        return to, out
+        code = self.next[state << 8 | byte] = to << 1 | bool(out)
+        if out:
+            self.out[state << 8 | byte] = out
+        return code
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one match of the pattern: the token that it is, else what merging its bytes gives."""
@@ -98,11 +150,15 @@ class Transducer:
             return [whole]
         if len(self.next) > MOST_TRANSITIONS:
             self._forget()
-        state, ids, known = 0, [], self.next
+        state, ids, known, emitted = 0, [], self.next, self.out
         for b in data:
-            state, out = known.get(state << 8 | b) or self._step(state, b)
-            if out:
-                ids += out
+            try:
+                code = known[state << 8 | b]
+            except KeyError:
+                code = self._step(state, b)
+            if code & 1:
+                ids += emitted[state << 8 | b]
+            state = code >> 1
         for _, node, rest in self.states[state]:
             if not node:  # the one path that has completed its last token
                 return ids + list(rest)
@@ -118,15 +174,29 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.bytes_of = self.transducer.bytes_of
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
-        # Both remember ids packed as 32-bit integers.
-        self.pieces = Memo(lambda pieces: [array("i", self.transducer.encode(p.encode())).tobytes() for p in pieces], WORDS_KEPT)
-        # Words with the space before them: the pattern has a match's start there.
-        self.words = Memo(lambda words: self._cut([" " + w for w in words]), WORDS_KEPT)
-
-    def _cut(self, texts: list[str]) -> list[bytes]:
-        found = [self.pattern.findall(t) for t in texts]
-        known = self.pieces.learn([p for pieces in found for p in pieces])
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in found]
+        #: Ids, packed as 32-bit integers, of words with the space before them: the pattern has a match's start there.
+        self.words = Memo(self._words, WORDS_KEPT, LONGEST_KEPT)
+        self.marks = dict(zip(MARKS, map(self._cut, MARKS), strict=True))
+
+    def _cut(self, text: str) -> bytes:
+        encode = self.transducer.encode
+        return array("i", [i for p in self.pattern.findall(text) for i in encode(p.encode())]).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Letters alone are one match with their space; a mark after them is one by itself."""
+        encode, marks, cut = self.transducer.encode, self.marks, self._cut
+        stems: dict[str, bytes] = {}
+        made = []
+        for word in words:
+            mark = marks.get(word[-1:])
+            stem = word[:-1] if mark else word
+            if not stem.isalpha():
+                made.append(cut(" " + word))
+                continue
+            if (ids := stems.get(stem)) is None:
+                ids = stems[stem] = array("i", encode((" " + stem).encode())).tobytes()
+            made.append(ids + mark if mark else ids)
+        return made
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text; null is encoded as empty."""
@@ -137,10 +207,9 @@ class Codec:
                 split.append(units(texts[at] or ""))
                 size += len(texts[at] or "")
                 at += 1
-            first = self._cut([words[0] for words in split])
             known = self.words.learn([w for words in split for w in words[1:]])
-            for packed, words in zip(first, split, strict=True):
-                yield array("i", packed + b"".join(map(known.__getitem__, words[1:]))).tolist()
+            for words in split:
+                yield array("i", self._cut(words[0]) + b"".join(map(known.__getitem__, words[1:]))).tolist()
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -219,12 +288,13 @@ def encoded_digests(docs: DataFrame, *, path: str, pattern: str = public_tokeniz
         for b in sliced(batches):
             made = []
             own = codec(path, pattern)
-            for ids in own.encode(b.column("text").to_pylist()):
-                decoder, digest = StreamDecoder(own.bytes_of), hashlib.sha256()
-                for at in range(0, len(ids), IDS_AT_ONCE):
-                    digest.update(decoder.feed(ids[at : at + IDS_AT_ONCE]))
-                digest.update(decoder.end())
-                made.append((len(ids), hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest(), digest.hexdigest()))
+            with uncollected():
+                for ids in own.encode(b.column("text").to_pylist()):
+                    decoder, digest = StreamDecoder(own.bytes_of), hashlib.sha256()
+                    for at in range(0, len(ids), IDS_AT_ONCE):
+                        digest.update(decoder.feed(ids[at : at + IDS_AT_ONCE]))
+                    digest.update(decoder.end())
+                    made.append((len(ids), hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest(), digest.hexdigest()))
             n, a, d = map(list, zip(*made, strict=True)) if made else ([], [], [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

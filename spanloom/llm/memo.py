@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 #: Single spaces between other than white space: no pre-tokeniser here joins what stands on both sides.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -11,13 +13,15 @@ _WIDE = re.compile(r"\s\s|^\s|\s$")
 
 
 class Memo:
-    """word -> result, made in lists by `make`; holds at most twice `limit` words, the last used among them."""
+    """word -> result, made in lists by `make`; holds at most twice `limit` words, the last used among them, and words of over `longest` characters only until the next call."""
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000):
-        self.make, self.limit, self.young, self.old = make, limit, {}, {}
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000, longest: int | None = None):
+        self.make, self.limit, self.longest, self.young, self.old, self.passing = make, limit, longest, {}, {}, []
 
     def learn(self, words: list[str]) -> dict:
         """A dictionary that holds at least these words, valid until the next call."""
+        for w in self.passing:
+            self.young.pop(w, None)
         missing = set(words).difference(self.young)
         if len(self.young) + len(missing) > self.limit:
             self.old, self.young = self.young, {}
@@ -27,6 +31,7 @@ class Memo:
             new = [w for w in missing if w not in old]
             self.young.update((w, old[w]) for w in missing if w in old)
             self.young.update(zip(new, self.make(new), strict=True))
+        self.passing = [w for w in missing if len(w) > self.longest] if self.longest else []
         return self.young
 
 
@@ -37,6 +42,17 @@ def sliced(batches: Iterator, rows: int = 256) -> Iterator:
             yield b.slice(at, rows)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cycle collector, which would look through all that is remembered again and again: words and what they give hold no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        gc.enable()
+
+
 _HELD: dict = {}
 
 

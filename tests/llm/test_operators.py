@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -5,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 import xxhash
 
 from spanloom.llm import byte_bpe, embedding_dedup, exact_dedup, license_scan, mixing, sharding, simhash, token_output, toxicity, url_filter
@@ -278,6 +280,31 @@ def test_byte_bpe(name):
     assert list(codec.encode([None])) == [[]]
 
 
+def test_pairs_of_tokens():
+    """Which token may follow which, against merging the bytes of both."""
+    made = byte_bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).transducer
+    rng = random.Random(5)
+    tokens = [rng.randrange(len(made.bytes_of)) for _ in range(1500)] + list(range(256))
+    fits = 0
+    for _ in range(6000):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if made.merged(made.bytes_of[a]) == [a]:
+            slow = made.merged(made.bytes_of[a] + made.bytes_of[b]) == [a, b]
+            assert made._may_follow(a, b) == slow, (a, b)
+            fits += slow
+    assert 500 < fits < 5900
+
+
+def test_transducer_forgets(monkeypatch):
+    """Results stay the same when what is remembered is dropped again and again."""
+    monkeypatch.setattr(byte_bpe, "MOST_TRANSITIONS", 50)
+    monkeypatch.setattr(byte_bpe, "WORDS_KEPT", 5)
+    texts = ["some words, again and again; überall Wörter! niñas: " + "x" * 200 + f" word{i % 7}." for i in range(20)]
+    own = byte_bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    tokens = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.transducer.ranks, special_tokens={})
+    assert [x for t in texts for x in own.encode([t])] == [tokens.encode_ordinary(t) for t in texts]
+
+
 def test_byte_bpe_query(spark, odd):
     got = byte_bpe.encoded_digests(odd, path=P.path("byte_bpe_50k.tiktoken"))
     assert got.count() == len(ODD) and got.where("doc_id in (3, 4)").select("n_tokens", "ids_sha256").distinct().count() == 1
