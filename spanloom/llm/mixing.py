@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling, with native DataFrame operations only.
 
-Each source first gets whole copies for certain, then a fixed-size sample by Pareto order: each
-document draws u, and the documents with the smallest u/(1-u) divided by the odds of inclusion are
-taken until the words that the source still lacks are reached. Running totals are formed in two
-steps (bins of the order, then within the one bin where the total is reached), so a source with a
-third of all rows is spread over all tasks.
+Each source first gets whole copies for certain, then a fixed-size sample by Pareto order. Documents have unequal
+inclusion probabilities p: in proportion to the number of binary digits of their size (longer texts are somewhat
+likelier), at most 1, and such that the expected words of the sample are those that the source lacks. A
+document draws u; documents go in ascending order of odds(u) / odds(p), and are taken until those words are reached.
+Running totals are formed in two steps (bins of the order, then within the one bin where the total is reached),
+so a source with a third of all rows is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -46,6 +47,32 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -
     return rows.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("w"), "cap")).alias("target"))
 
 
+def weight_of(size: Column) -> Column:
+    """What inclusion probabilities are in proportion to: the binary digits of size + 1, so that a source has few different ones."""
+    return F.length(F.bin(size + 1)).cast("long")
+
+
+def inclusion_scales(classes: DataFrame) -> DataFrame:
+    """(source, scale) from (source, weight, class_size, lacking), a row per source and weight: p = min(1, scale * weight) makes the sum of p * size what the source lacks.
+
+    The heaviest classes are those that reach 1: with them in front, the scale is what is lacking without them, divided by
+    the weighted size of the rest, for the first place where no class of the rest exceeds 1.
+    """
+    heaviest = Window.partitionBy("source").orderBy(F.desc("weight"))
+    full = F.coalesce(F.sum("class_size").over(heaviest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("weight") * F.col("class_size")).over(heaviest.rowsBetween(0, Window.unboundedFollowing))
+    rows = classes.withColumn("scale", F.when(rest > 0, (F.col("lacking") - full) / rest))
+    fits = F.when(F.col("scale") * F.col("weight") <= 1, F.struct((-F.col("weight")).alias("k"), "scale"))
+    return rows.groupBy("source").agg(F.coalesce(F.min(fits)["scale"], F.lit(1.0)).alias("scale"))
+
+
+def pareto_order(draw: Column, probability: Column) -> Column:
+    """odds(u) / odds(p) as a share of itself plus one: the same order, between 0 and 1. Certain documents (p = 1) come first."""
+    u = (draw + F.lit(0.5)) / F.lit(float(2**52))
+    up, down = u * (F.lit(1.0) - probability), (F.lit(1.0) - u) * probability
+    return up / (up + down)
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None, weights=WEIGHTS, most: int = MOST_COPIES, bins: int = BINS, seed: str = SEED) -> DataFrame:
     """docs with columns size, source_size, target and copies (how often the mix takes the document, 0 included), replacing columns of these names.
 
@@ -63,36 +90,43 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 13), 16, 10).cast("long")
     narrow = kept.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), "size", draw.alias("draw"))
     narrow = narrow if size else written(narrow, "mix")
-    in_bin = F.expr(f"draw div {2**52 // bins}")
     same = F.col("source").eqNullSafe(F.col("s"))
 
-    per_bin = written(narrow.groupBy("source", in_bin.alias("bin")).agg(F.sum("size").alias("bin_size")), "mix-bins")
-    targets = source_targets(per_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most)
+    # A row per source and weight, of which there are at most 64.
+    classes = written(narrow.groupBy("source", weight_of(F.col("size")).alias("weight")).agg(F.sum("size").alias("class_size")), "mix-classes")
+    targets = source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")), weights, most)
     # Whole copies that each document has for certain, and the words that the source lacks then.
     certain = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size") + 1e-12))
     targets = targets.withColumn("certain", certain.cast("long")).withColumn("lacking", F.greatest(F.lit(0.0), F.col("target") - F.col("certain") * F.col("source_size")))
-    # Pareto order: odds(u) / odds(p), where p = lacking / source_size is the same for all of a source: the order by u.
-    running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    edge = per_bin.withColumn("before", F.coalesce(F.sum("bin_size").over(running), F.lit(0))).join(targets.select(F.col("source").alias("s"), "lacking"), same)
-    edge = edge.where("before < lacking").groupBy("source").agg(F.max(F.struct("bin", "before")).alias("e")).select(F.col("source").alias("s"), "e.bin", "e.before")
-    plan = written(targets.join(edge, same, "left").drop("s"), "mix-plan")
+    targets = written(targets, "mix-targets")
+    scales = inclusion_scales(classes.join(targets.select(F.col("source").alias("s"), "lacking"), same).drop("s"))
+    plan = written(targets.join(scales.select(F.col("source").alias("s"), "scale"), same).drop("s"), "mix-plan")
     small = plan.count() <= 100_000  # proven before it is broadcast; beyond that the join shuffles
-    plan = F.broadcast(plan) if small else plan
+    sent = lambda df: F.broadcast(df) if small else df
+
+    place = lambda scale, size, draw: pareto_order(draw, F.least(F.lit(1.0), scale * weight_of(size)))
+    bin_of = lambda place: F.least(F.floor(place * bins), F.lit(bins - 1)).cast("long")
+    ranked = narrow.join(sent(plan.select(F.col("source").alias("s"), "lacking", "scale")), same).drop("s").withColumn("place", place(F.col("scale"), F.col("size"), F.col("draw")))
+    per_bin = ranked.groupBy("source", "lacking", bin_of(F.col("place")).alias("bin")).agg(F.sum("size").alias("bin_size"))
+    running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    edge = per_bin.withColumn("before", F.coalesce(F.sum("bin_size").over(running), F.lit(0))).where("before < lacking")
+    edge = edge.groupBy("source").agg(F.max(F.struct("bin", "before")).alias("e")).select(F.col("source").alias("s"), "e.bin", "e.before")
+    edge = written(edge, "mix-edge")  # a row per source
 
     # Only the bin in which the total is reached is looked at by document.
-    units = narrow.join(plan.select(F.col("source").alias("s"), "lacking", "bin", "before"), same).where(in_bin == F.col("bin"))
-    units = units.groupBy("source", "draw", "id", "size", "lacking", "before").agg((F.count("*") * F.col("size")).alias("unit"))
-    ordered = Window.partitionBy("source").orderBy("draw", F.col("id").asc_nulls_first(), "size")
+    units = ranked.join(sent(edge), same).where(bin_of(F.col("place")) == F.col("bin"))
+    units = units.groupBy("source", "place", "id", "size", "lacking", "before").agg((F.count("*") * F.col("size")).alias("unit"))
+    ordered = Window.partitionBy("source").orderBy("place", F.col("id").asc_nulls_first(), "size")
     units = units.withColumn("start", F.col("before") + F.sum("unit").over(ordered) - F.col("unit")).where("start + unit / 2 <= lacking")
-    last = units.groupBy("source").agg(F.max(F.struct("draw", "id", "size")).alias("last")).select(F.col("source").alias("s"), "last")
-    plan = written(plan.join(last, same, "left").select(F.col("source").alias("plan_source"), "source_size", "target", "certain", "bin", "last"), "mix-plan")
-    plan = plan.select(F.struct(*plan.columns).alias(plan_name := free_name(kept, "mix_plan")))
-    plan = F.broadcast(plan) if small else plan
+    last = units.groupBy("source").agg(F.max(F.struct("place", "id", "size")).alias("last")).select(F.col("source").alias("s"), "last")
+    plan = plan.join(edge.select("s", "bin"), same, "left").drop("s").join(last, same, "left").drop("s")
+    plan = written(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "certain", "scale", "bin", "last"), "mix-plan")
+    plan = sent(plan.select(F.struct(*plan.columns).alias(plan_name := free_name(kept, "mix_plan"))))
     of = lambda c: F.col(f"{plan_name}.{c}")
     out = kept.join(plan, F.col(source).eqNullSafe(of("plan_source")), "left")
-    own_bin = F.floor(draw / F.lit(2**52 // bins)).cast("long")
-    own = F.struct(draw.alias("draw"), F.col(doc_id).alias("id"), F.col("size").alias("size"))
-    taken = F.when(of("bin").isNull() | (own_bin > of("bin")), 0).when(own_bin < of("bin"), 1).when(own <= of("last"), 1).otherwise(0)
+    own_place = place(of("scale"), F.col("size"), draw)
+    own = F.struct(own_place.alias("place"), F.col(doc_id).alias("id"), F.col("size").alias("size"))
+    taken = F.when(of("bin").isNull() | (bin_of(own_place) > of("bin")), 0).when(bin_of(own_place) < of("bin"), 1).when(own <= of("last"), 1).otherwise(0)
     return out.select(*kept.columns, of("source_size").alias("source_size"), of("target").alias("target"), (of("certain") + taken).alias("copies"))
 
 
@@ -116,8 +150,17 @@ l as (select min_by(level, k) as level from f where level * w <= cap),
 t as (select source, source_size, least(cap, l.level * w)::double as target from f, l),
 p as (select *, case when source_size = 0 then 0 else floor(target / source_size + 1e-12) end::bigint as certain from t),
 q as (select *, greatest(0, target - certain * source_size) as lacking from p),
-u as (select d.*, q.* exclude (source), sum(size) over (partition by d.source order by draw, doc_id nulls first, size) as upto,
-             sum(size) over (partition by d.source, draw, doc_id, size) as unit
-      from d join q on d.source is not distinct from q.source)
+g as (select source, length(bin(size + 1)) as weight, sum(size)::bigint as class_size from d group by all),
+h as (select g.*, lacking,
+             (lacking - coalesce(sum(class_size) over (o rows between unbounded preceding and 1 preceding), 0)::double)
+             / nullif(sum(weight * class_size) over (o rows between current row and unbounded following), 0)::double as scale
+      from g join q on g.source is not distinct from q.source window o as (partition by g.source order by weight desc)),
+c as (select source, coalesce(arg_max(scale, weight) filter (where scale * weight <= 1), 1.0::double) as scale from h group by source),
+v as (select d.*, q.* exclude (source), (draw + 0.5::double) / 4503599627370496.0::double as u, least(1.0::double, scale * length(bin(size + 1))) as p
+      from d join q on d.source is not distinct from q.source join c on d.source is not distinct from c.source),
+x as (select *, u * (1.0::double - p) / (u * (1.0::double - p) + (1.0::double - u) * p) as place from v),
+u as (select *, sum(size) over (partition by source order by place, doc_id nulls first, size) as upto,
+             sum(size) over (partition by source, place, doc_id, size) as unit
+      from x)
 select doc_id, size, source_size, target, (size * (certain + case when lacking > 0 and upto - unit + unit / 2.0::double <= lacking then 1 else 0 end))::bigint as taken from u
 """

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -240,6 +241,36 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_pareto_order(spark):
+    """Inclusion probabilities and the order of the sample against plain loops."""
+    rng = np.random.default_rng(16)
+    rows = [(i, "w " * int(rng.choice([0, 1, 3, 20, 21, 90, 400], p=[0.05, 0.15, 0.2, 0.2, 0.2, 0.15, 0.05])), "abc"[i % 3] if i % 2 else "a") for i in range(1200)]
+    rows += [(7, rows[7][1], rows[7][2])] * 3  # one unit with the first
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), bins=16).collect()
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        total, target = own[0]["source_size"], own[0]["target"]
+        certain = int(target / total + 1e-12)
+        lacking = target - certain * total
+        weigh = lambda size: (size + 1).bit_length()
+        low, high = 0.0, 1.0
+        for _ in range(200):  # bisection for the scale
+            scale = (low + high) / 2
+            low, high = (scale, high) if sum(min(1, scale * weigh(r["size"])) * r["size"] for r in own) < lacking else (low, scale)
+        assert len({min(1, scale * weigh(r["size"])) for r in own}) > 2 or not lacking
+        units = Counter()
+        for r in own:
+            draw = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[:13], 16)
+            u, p = (draw + 0.5) / 2**52, min(1, scale * weigh(r["size"]))
+            units[(u / (1 - u)) / (p / (1 - p)) if p < 1 else 0.0, r["doc_id"], r["size"]] += r["size"]
+        start, taken = 0, set()
+        for (_, doc, size), words in sorted(units.items()):
+            taken |= {(doc, size)} if start + words / 2 <= lacking else set()
+            start += words
+        assert {(r["doc_id"], r["size"]) for r in own if r["copies"] > certain} == taken and 0 < len(taken) < len(units)
+        assert all(r["copies"] in (certain, certain + 1) for r in own)
+
+
 def test_sharding(spark, odd):
     counts = {int(a): int(n) for a, n in zip(*np.unique(np.random.default_rng(7).integers(0, 1024, 5003), return_counts=True), strict=True)}
     where = {}
