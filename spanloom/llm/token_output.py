@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .memo import Memo, held, sliced
+from .memo import Memo, held, sliced, uncollected
 
 END_ID = 1
 #: Ids of a block; ids after which a chunk ends at its document's end; characters encoded at a time.
@@ -124,7 +124,9 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str = "doc_
         held = 0
         for b in sliced(batches):
             shard = b.column("shard")[0].as_py() if b.num_rows else shard
-            for name, made in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist(), tokenizer, added=True), strict=True):
+            with uncollected():
+                encoded = list(encode(b.column("text").to_pylist(), tokenizer, added=True))
+            for name, made in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
                 names.append(name)
                 ids.append(made + end)
                 held += len(made) // 4 + 1
