@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import vocabulary as V
-from ..plans.tables import written
+from ..plans.tables import numbered, written
 from . import catalog, graph
 
 
@@ -151,14 +151,6 @@ def validate(items: DataFrame, models: DataFrame, base: DataFrame, *, add_only:
         parts.append(collisions(models))
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in V.SEVERITY_RANK.items() for x in pair]), F.col("severity")), F.lit(9))
     rows = reduce(DataFrame.unionByName, parts)
-    # Sorted by ranges, so that no task holds all; the id tells the part and the place in it.
     keys = ["rank", "model", "emit_ord", "code", "detail"]
-    rows = written(rows.withColumn("rank", rank), "warnings")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), "warnings")
-    part = F.shiftright("at", 33)
-    # One row per part: how many warnings stand before it.
-    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    place = (F.col("before") + F.col("at").bitwiseAND(2**33 - 1) + 1).cast("int")
-    return rows.join(F.broadcast(before), part == F.col("part")).withColumn("ord", place).drop("emit_ord", "rank", "at", "part", "before")
+    rows = numbered(written(rows.withColumn("rank", rank), "warnings"), keys, "at", "warnings")
+    return rows.withColumn("ord", (F.col("at") + 1).cast("int")).drop("emit_ord", "rank", "at")

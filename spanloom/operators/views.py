@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
+from ..plans.tables import numbered, written
 from . import graph
 
 
@@ -68,22 +71,37 @@ def order_meta(items: DataFrame, models: DataFrame) -> DataFrame:
 LAYERS = ["source", "seed", "sample", "staging", "intermediate", "mart", "aggregate", "other"]
 
 
+#: Nodes of a layer up to which one sort in one task numbers it; larger layers are sorted by ranges.
+ONE_SORT = 500_000
+
+
 def lanes(nodes: DataFrame, edges: DataFrame, passes: int = 3) -> DataFrame:
-    """(id, layer, lane): places within each layer after sweeps down and up that sort by the median place of the neighbours in layers before, then after; nodes without any keep their place. Layer macro is not laid out: lane 0."""
-    from ..plans.tables import written
-
-    rank = P.layer_rank(F.col("layer"))
-    place = nodes.select("id", "layer", rank.alias("rank")).withColumn("lane", F.row_number().over(Window.partitionBy("layer").orderBy("id")) - 1)
-    place = written(place, "lanes")
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    for _ in range(passes):
-        for down in (True, False):
-            for layer in LAYERS if down else LAYERS[::-1]:
-                own = place.where(F.col("layer") == layer)
-                near = own.select(F.col("id").alias("a"), F.col("rank").alias("own")).join(both, "a").join(place.select(F.col("id").alias("b"), "rank", F.col("lane").cast("double").alias("at")), "b").where(F.col("rank") < F.col("own") if down else F.col("rank") > F.col("own"))
-                middle = near.groupBy(F.col("a").alias("id")).agg(F.median("at").alias("m"))
-                moved = own.join(middle, "id", "left").withColumn("lane", (F.row_number().over(Window.partitionBy("layer").orderBy(F.coalesce("m", F.col("lane").cast("double")), "id")) - 1)).select("id", "layer", "rank", "lane")
-                place = place.where(F.col("layer") != layer).unionByName(moved)
-            place = written(place, "lanes")
-    return place.select("id", "layer", F.when(F.col("layer") == "macro", 0).otherwise(F.col("lane")).alias("lane"))
+    """(id, layer, lane): places within each layer after sweeps down and up that sort by the median place of what a node refers to, then of what refers to it; nodes without any keep their place.
+
+    The first layer present is left as it is going down, the last one going up. Layer macro is not laid out: lane 0, and
+    it counts for no median. Each layer is a table of its own, written whenever it is sorted anew; a step reads the
+    places and the edges of the layer. So plans stay the same in length.
+    """
+    ids = written(nodes.select("id", "layer"), "lanes")
+    sizes = {r["layer"]: r["count"] for r in ids.groupBy("layer").count().collect()}  # a fixed set of names
+    here = [layer for layer in LAYERS if layer in sizes]
+
+    def sorted_by(rows: DataFrame, layer: str, keys: list[str]) -> DataFrame:
+        if sizes[layer] > ONE_SORT:
+            return numbered(rows, keys, "lane", "lanes").select("id", "lane")
+        return written(rows.select("id", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long").alias("lane")).coalesce(1), "lanes")
+
+    of = ids.where(F.col("layer").isin(here))
+    pairs = edges.select(F.col("source").alias("ref"), F.col("target").alias("id")).join(of, "id").join(of.select(F.col("id").alias("ref"), F.col("layer").alias("ref_layer")), "ref")
+    pairs = written(pairs, "lanes")
+    place = {layer: sorted_by(ids.where(F.col("layer") == layer).select("id"), layer, ["id"]) for layer in here}
+    for turn in range(2 * passes):
+        down = turn % 2 == 0
+        for layer in here[1:] if down else here[-2::-1]:
+            near = pairs.where(F.col("layer" if down else "ref_layer") == layer).select(F.col("id" if down else "ref").alias("own"), F.col("ref" if down else "id").alias("id"))
+            every = reduce(DataFrame.unionByName, place.values())
+            middle = near.join(every, "id").groupBy(F.col("own").alias("id")).agg(F.median("lane").alias("m"))
+            moved = place[layer].join(middle, "id", "left").select("id", F.coalesce("m", F.col("lane").cast("double")).alias("m"))
+            place[layer] = sorted_by(moved, layer, ["m", "id"])
+    rows = [t.select("id", F.lit(layer).alias("layer"), F.col("lane").cast("int").alias("lane")) for layer, t in place.items()]
+    return reduce(DataFrame.unionByName, rows, ids.where(~F.col("layer").isin(here)).select("id", "layer", F.lit(0).alias("lane")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, keys: list, name: str, tag: str) -> DataFrame:
+    """df with the long column `name`: its place, from 0, in the order of the keys. Sorted by ranges and numbered part by part, so that no task holds all."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()), tag)
+    part = F.shiftright(name, 33)
+    # One row per part: how many rows stand before it.
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.col(name).bitwiseAND(2**33 - 1)
+    return rows.join(F.broadcast(before), part == F.col("part")).withColumn(name, place).drop("part", "before")

@@ -1,4 +1,7 @@
 import random
+import statistics
+
+import pytest
 
 from spanloom.operators import catalog, diff, graph, match, rules, verify, views
 from spanloom.plans import queries
@@ -154,3 +157,20 @@ def test_warnings_are_numbered_without_one_task_for_all(spark, tmp_path):
     assert [(rank.get(r["severity"], 3), r["model"]) for r in rows] == sorted((rank.get(r["severity"], 3), r["model"]) for r in rows)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Window" in x and "severity" in x] and "row_number" not in plan
+
+
+@pytest.mark.parametrize("one_sort", [500_000, 5])
+def test_lanes_against_a_plain_loop(spark, monkeypatch, one_sort):
+    monkeypatch.setattr(views, "ONE_SORT", one_sort)
+    rng = random.Random(11)
+    layers = ["source", "staging", "mart", "other"]
+    nodes = {f"n{i:02d}": rng.choice(layers) for i in range(40)} | {"m1": "macro"}
+    edges = {(rng.choice(list(nodes)), rng.choice(list(nodes))) for _ in range(70)}
+    place = {n: sorted(x for x in nodes if nodes[x] == layer).index(n) for n, layer in nodes.items() if layer != "macro"}
+    for turn in range(6):
+        for layer in layers[1:] if turn % 2 == 0 else layers[-2::-1]:
+            near = {n: [place[a] for a, b in edges if b == n and a in place] if turn % 2 == 0 else [place[b] for a, b in edges if a == n and b in place] for n in nodes if nodes[n] == layer}
+            middle = {n: statistics.median(at) if at else place[n] for n, at in near.items()}
+            place |= {n: k for k, n in enumerate(sorted(middle, key=lambda n: (middle[n], n)))}
+    got = views.lanes(spark.createDataFrame(list(nodes.items()), "id string, layer string"), spark.createDataFrame(list(edges), "source string, target string"))
+    assert {r["id"]: r["lane"] for r in got.collect()} == place | {"m1": 0}
