@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +140,59 @@ def summary(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("total"), *counts, F.coalesce(F.sum("add_count"), F.lit(0)).alias("items_to_add"))
 
 
+def with_labels(items: DataFrame, add_only: bool = True) -> DataFrame:
+    """items with label and hint: of the policy action, or of the status where the policy is not additive."""
+    key, labels, hints = ("policy_action", V.POLICY_LABEL, V.POLICY_HINT) if add_only else ("status", V.STATUS_LABEL, V.STATUS_HINT)
+    of = lambda table: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col(key)), F.lit(""))
+    return items.withColumns({"label": of(labels), "hint": of(hints)})
+
+
+def session_summary(items: DataFrame, warnings: DataFrame, base: DataFrame, workspace: DataFrame, add_only: bool = True) -> DataFrame:
+    """One row: counts of items by status and action, of warnings by severity and policy, of models, and of cycles (those that the warnings hold)."""
+    count = lambda condition, name: F.count_if(F.expr(condition)).alias(name)
+    pending = "policy_action in ('create', 'append')" if add_only else "status in ('NOVO', 'ALTERADO', 'REMOVIDO', 'RENOMEADO')"
+    of_items = items.agg(
+        count("policy_action = 'create' or status = 'NOVO'", "novo"),
+        count("policy_action = 'append'", "acrescentar"),
+        count("status = 'ALTERADO'", "alterado"),
+        count("status = 'REMOVIDO'", "removido"),
+        count("status = 'RENOMEADO'", "renomeado"),
+        count("status = 'IGUAL'", "igual"),
+        count("policy_action = 'skip'", "nao_alterar"),
+        count("policy_action = 'review'", "revisar"),
+        count(pending, "pending"),
+    )
+    of_warnings = warnings.agg(
+        count("severity = 'critical' and not startswith(code, 'POLICY')", "critical"),
+        count("severity = 'critical' and startswith(code, 'POLICY')", "policy_blocks"),
+        count("startswith(code, 'POLICY') and label = 'Acrescentar'", "policy_append"),
+        count("severity = 'warning'", "warning"),
+        count("code = 'DAG_CYCLE'", "cycle_count"),
+    )
+    # Each side is one row.
+    return of_items.crossJoin(of_warnings).crossJoin(base.agg(F.count("*").alias("base_models"))).crossJoin(workspace.agg(F.count("*").alias("workspace_models")))
+
+
+def message(summary: DataFrame, *, base_missing: bool = False, add_only: bool = True) -> DataFrame:
+    """(message) that a session shows first, from its summary."""
+    def text(key: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", V.MESSAGES[key])
+        return F.concat(*[F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    blocked = F.lit(add_only) & (F.col("policy_blocks") > 0)
+    shown = (
+        F.when(F.lit(base_missing), text("base"))
+        .when(F.col("workspace_models") == 0, text("empty"))
+        .when((F.col("pending") == 0) & (F.col("critical") == 0), text("done"))
+        .when(F.col("critical") > 0, text("critical"))
+        .when(F.lit(add_only) & (F.col("acrescentar") > 0), text("append"))
+        .when(blocked & (F.col("novo") > 0), text("create"))
+        .when(blocked, text("nothing"))
+        .otherwise("")
+    )
+    return summary.select(shown.alias("message"))
+
+
 def progress(items: DataFrame, add_only: bool = True) -> DataFrame:
     """(work, done, percent): 100 without work, else the truncated share of what is equal."""
     work = F.count_if(F.col("policy_action").isin("create", "append") if add_only else F.col("status") != "IGUAL")

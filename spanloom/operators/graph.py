@@ -125,6 +125,30 @@ def find_cycles(models: DataFrame) -> DataFrame:
     return spark.createDataFrame([(" → ".join(c), sorted(set(c))) for c in once], "path string, nodes array<string>")
 
 
+# The hint of a cycle, and how many of its edges it names.
+CYCLE_HINT, HINTED = "Remova uma ref() neste loop (candidatas: {}).", 4
+
+
+def cycle_report(models: DataFrame) -> DataFrame:
+    """(path, nodes, cut_edges, hint) of each cycle: the nodes in its order, the edges of which one is to be cut, and a hint that names the first of them."""
+    way = F.split("path", " → ")
+    edge = F.transform(F.slice(way, 1, F.size(way) - 1), lambda a, i: F.struct(a.alias("from"), F.get(way, i + 1).alias("to")))
+    before, after = CYCLE_HINT.split("{}")
+    hint = F.concat(F.lit(before), F.array_join(F.transform(F.slice("cut_edges", 1, HINTED), lambda e: F.concat(e["from"], F.lit("→"), e["to"])), ", "), F.lit(after))
+    return find_cycles(models).select("path", F.slice(way, 1, F.size(way) - 1).alias("nodes"), edge.alias("cut_edges")).withColumn("hint", hint)
+
+
+def item_impact(items: DataFrame, models: DataFrame) -> DataFrame:
+    """(name, n_impact, impact_text) of each item: what depends on it, or on the base model that it stands for; the text has the first ten by name."""
+    own = items.select("name", F.explode(F.array_compact(F.array("name", "match_name"))).alias("root")).distinct()
+    reach = downstream(models, own.select("root").distinct())
+    deps = own.join(reach, "root").select("name", "node").distinct()
+    counts = deps.groupBy("name").agg(F.count("*").alias("n_impact"))
+    first = deps.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("node"))).where("k <= 10").groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("node")), ", ").alias("first"))
+    text = F.when(F.col("first").isNull(), "Ninguém depende deste arquivo").otherwise(F.concat(F.lit("Afeta depois: "), F.col("first")))
+    return items.select("name").join(counts, "name", "left").join(first, "name", "left").select("name", F.coalesce("n_impact", F.lit(0)).alias("n_impact"), text.alias("impact_text"))
+
+
 def order_key(items: DataFrame) -> DataFrame:
     boost = F.when(F.col("table_kind") == "AGGR", 2).when(F.col("table_kind").isin("F", "DIB"), 1).otherwise(0)
     return items.where("pending").select("name", P.layer_rank(F.col("layer")).alias("rank"), boost.alias("boost"))

@@ -49,6 +49,13 @@ def path_edges(models: DataFrame, node: str) -> DataFrame:
     return e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
 
 
+def work_edges(items: DataFrame, models: DataFrame) -> DataFrame:
+    """(source, target): edges of the lineage that touch what is to be created or extended."""
+    work = items.where("policy_action in ('create', 'append')").select(F.col("name").alias("id"))
+    e = written(lineage_edges(items, models), "edges")
+    return e.join(work.withColumnRenamed("id", "source"), "source", "left_semi").select("source", "target").unionByName(e.join(work.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")).distinct()
+
+
 def search(nodes: DataFrame, text: str) -> DataFrame:
     """Nodes whose id contains the trimmed text in any case; an empty text finds all."""
     return nodes.where(F.contains(F.lower("id"), F.lit(text.strip().lower())))

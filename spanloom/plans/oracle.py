@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import vocabulary as V
 from ..sources.synth import DECLARED, FILES
 from .queries import ALIASES
@@ -137,7 +139,26 @@ def oracle_sql() -> dict[str, str]:
     lineage = "own as (select name as id, layer, status from i), rest as (select distinct ref as id from e where dependent in (select name from i) and ref not in (select id from own)), l as (select * from own union all select id, case when starts_with(id, 'source.') then 'source' else coalesce((select m.layer from m where m.name = id), (select " + LAYER + " from (select id as path))) end, 'IGUAL' from rest)"
     sample = "q as (select case when status = 'NOVO' then name || '_sample' else name end as name, status from i), y as (select name, replace(replace(lower(name), '_sample', ''), 'sample_', 'stg_') as g0 from q where status = 'NOVO'), yy as (select name, case when starts_with(g0, 'stg_') then g0 else 'stg_' || g0 end as guess from y)"
     now = "number as (select *, regexp_extract(name, '(\\d+)', 1)::bigint as k from b), now as (select name, columns as cols from number where k % 4 <> 0 union all select name, columns from w where regexp_extract(name, '(\\d+)', 1)::bigint % 4 = 0)"
+    al = f", al(name, target, k) as (values {alias}, {back}), a1 as (select al.*, row_number() over (partition by al.name order by k) as n from al), a2 as (select w.name, target, w.layer, w.content_hash, w.hash from a1 join w on w.name = a1.name where n = 1 and w.name not in (select name from b) and target in (select name from b)), a3 as (select a2.*, row_number() over (partition by target order by {RANK('layer')}, a2.name) as pos from a2 where not exists (select 1 from w x where x.name = a2.target and ({RANK('x.layer')}, x.name) < ({RANK('a2.layer')}, a2.name)))"
+    chosen = lambda key, table: f"case {key} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + " end"
+    labels = lambda key, label, hint: q(ITEMS, select=f"select name, {chosen(key, label)} as label, {chosen(key, hint)} as hint from (select name, status, policy_action from i union all select name, 'REMOVIDO', 'review' from gone)")
+    every_warning = [ITEMS, EDGES, *(", " + x for x in (violations, similar, naming, kinds, origin, taxonomy)), f", every as ({every}), of_items as (select count(*) filter (status = 'NOVO') as novo, count(*) filter (policy_action = 'append') as acrescentar, count(*) filter (status = 'ALTERADO') as alterado, 0::bigint as removido, 0::bigint as renomeado, count(*) filter (status = 'IGUAL') as igual, count(*) filter (policy_action = 'skip') as nao_alterar, 0::bigint as revisar, count(*) filter (policy_action in ('create', 'append')) as pending from i), of_warnings as (select count(*) filter (severity = 'critical' and code not like 'POLICY%') as critical, count(*) filter (severity = 'critical' and code like 'POLICY%') as policy_blocks, count(*) filter (code = 'POLICY_APPEND') as policy_append, count(*) filter (severity = 'warning') as warning from every), su as (select *, (select count(*) from b) as base_models, (select count(*) from w) as workspace_models from of_items, of_warnings)"]
+    said = lambda key: "'" + re.sub(r"\{(\w+)\}", r"' || \1 || '", V.MESSAGES[key]) + "'"
+    listed = lambda f, line: f"list_transform(add_{f}[1:20], lambda x: {line})"
+    snippet = " || ".join(f"coalesce(chr(10) || array_to_string(nullif({x}, []), chr(10)), '')" for x in (listed("columns", "'  , ' || x"), listed("refs", "'-- {{ ref(''' || x || ''') }}'"), listed("sources", "'-- {{ source(''' || replace(x, '.', ''', ''') || ''') }}'"), listed("joins", "'-- ' || x"), listed("casts", "'-- ' || x")))
+    first = f"order by (status = 'NOVO')::int, {RANK('layer')}, name"
+    chains = f", sd as (select row_number() over ({first}) - 1 as ord, name from i where status in ('NOVO', 'ALTERADO') and layer in ('source', 'sample', 'staging', 'seed') qualify ord < 12), st as (select ref, min(dependent) as next from e where dependent in (select name from i) group by 1), ch(ord, k, name) as (select ord, 0, name from sd union all select ord, k + 1, next from ch join st on st.ref = ch.name where k < 6)"
+    words = chosen("status", {"NOVO": "criar", "ALTERADO": "atualizar", "IGUAL": "ok"})
     out |= {
+        "work_edges": q(ITEMS, EDGES, ", " + lineage, select="select ref as source, dependent as target from e where ref in (select id from l) and dependent in (select id from l) and (ref in (select name from i where policy_action in ('create', 'append')) or dependent in (select name from i where policy_action in ('create', 'append')))"),
+        "item_impact": q(al, EDGES, reach("ref", "dependent", "(select name from m)"), ", o as (select name, name as root from w union select name, target from a3 where pos = 1), dp as (select distinct o.name, node from o join r using (root)), k as (select name, node, row_number() over (partition by name order by node) as k from dp)", select="select w.name, (select count(*) from dp where dp.name = w.name) as n_impact, coalesce('Afeta depois: ' || (select string_agg(node, ', ' order by node) from k where k.name = w.name and k <= 10), 'Ninguém depende deste arquivo') as impact_text from w", recursive=True),
+        "action_labels": labels("policy_action", V.POLICY_LABEL, V.POLICY_HINT),
+        "status_labels": labels("status", V.STATUS_LABEL, V.STATUS_HINT),
+        "session_summary": q(*every_warning, select="select * from su"),
+        "session_message": q(*every_warning, select=f"select case when workspace_models = 0 then {said('empty')} when pending = 0 and critical = 0 then {said('done')} when critical > 0 then {said('critical')} when acrescentar > 0 then {said('append')} when policy_blocks > 0 and novo > 0 then {said('create')} when policy_blocks > 0 then {said('nothing')} else '' end as message from su"),
+        "snippets": q(ITEMS, select=f"select i.name, policy_action, case policy_action when 'create' then '-- criar: ' else '-- acrescentar em: ' end || w.path || {snippet} as snippet from i join w on w.name = i.name where policy_action in ('create', 'append')"),
+        "yaml_sources": f"select '_sources' as name, 'source' as type, (select string_agg('raw.t' || range, ',' order by range) from range({DECLARED})) as sources, 'stg_m5' as columns",
+        "flow_chains": q(ITEMS, EDGES, chains, select=f"select ord::int as ord, string_agg(ch.name || ' (' || {words} || ')', ' → ' order by k) as chain from ch join i on i.name = ch.name group by ord", recursive=True),
         "status_diff": q(ITEMS, select="select name, status from i union all select name, 'REMOVIDO' from gone"),
         "status_summary": q(ITEMS, select="select (select count(*) from i) + (select count(*) from gone) as total, " + ", ".join(f"count(*) filter (status = '{s}') as {s.lower()}" if s != "REMOVIDO" else "(select count(*) from gone) as removido" for s in V.STATUSES) + ", count(*) filter (policy_action = 'create') as n_create, count(*) filter (policy_action = 'append') as n_append, count(*) filter (policy_action = 'skip') as n_skip, (select count(*) from gone) as n_review, count(*) filter (policy_action = 'exists') as n_exists, sum(add_count)::bigint as items_to_add from i"),
         "content_hash": q(select="select name, content_hash, hash from w"),
@@ -147,7 +168,7 @@ def oracle_sql() -> dict[str, str]:
         "column_taxonomy": q(select=f"select c as \"column\", p as prefix, count(*) as n, {TYPE} as dbt_type from (select c, {PREFIX} as p from (select unnest(columns) as c from b)) group by c, p"),
         "catalog_dedupe": q(select="select name, path, case when scan_ord % 7 = 0 then 'zz/' || path else '' end as collisions, scan_ord % 7 = 0 as name_collision from b"),
         "merged_catalog": q(select="select name, project, path from m"),
-        "alias_match": q(f", al(name, target, k) as (values {alias}, {back}), a1 as (select al.*, row_number() over (partition by al.name order by k) as n from al), a2 as (select w.name, target, w.layer, w.content_hash, w.hash from a1 join w on w.name = a1.name where n = 1 and w.name not in (select name from b) and target in (select name from b)), a3 as (select a2.*, row_number() over (partition by target order by {RANK('layer')}, a2.name) as pos from a2 where not exists (select 1 from w x where x.name = a2.target and ({RANK('x.layer')}, x.name) < ({RANK('a2.layer')}, a2.name)))", select="select a3.name, target as match_name, case when a3.content_hash = b.content_hash and a3.hash = b.hash then 'IGUAL' else 'ALTERADO' end as status from a3 join b on b.name = target where pos = 1"),
+        "alias_match": q(al, select="select a3.name, target as match_name, case when a3.content_hash = b.content_hash and a3.hash = b.hash then 'IGUAL' else 'ALTERADO' end as status from a3 join b on b.name = target where pos = 1"),
         "semantic_diff_items": q(ITEMS, select=spread(lines(), "status = 'ALTERADO'")),
         "add_items": q(ITEMS, select=adds),
         "ignored_changes": q(ITEMS, select=spread("flatten([list_transform(del_columns, lambda x: 'coluna removida no ZIP (ignore): ' || x), list_transform(del_refs, lambda x: 'referência removida no ZIP (ignore): ' || x), case when wc <> bc then ['SQL/corpo diferente no ZIP — NÃO reescreva o arquivo principal'] else [] end])", "status in ('ALTERADO', 'IGUAL')")),

@@ -99,6 +99,14 @@ def warnings_all(s: SparkSession, d: str) -> DataFrame:
     return rules.validate(fixed(synth.items(s, d)), fixed(declared_and_all(s, d)), fixed(synth.base(s, d)))
 
 
+def session_summary(s: SparkSession, d: str, warned=warnings_sorted) -> DataFrame:
+    return diff.session_summary(fixed(synth.items(s, d)), warned(s, d), synth.base(s, d), synth.workspace(s, d))
+
+
+def aliased(s: SparkSession, d: str) -> DataFrame:
+    return synth.items(s, d, aliases=diff.alias_table(s, ALIASES))
+
+
 def verify_base(s: SparkSession, d: str) -> DataFrame:
     """The base after half of the work: what has an even number was created, columns were appended for every fourth."""
     b, w = synth.base(s, d), synth.workspace(s, d)
@@ -159,6 +167,15 @@ def queries() -> dict:
         "ego_view_all": ego_view_all,
         "path_edges": lambda s, d: views.path_edges(fixed(m(s, d)), "int_m6"),
         "node_search": lambda s, d: views.search(views.lineage_nodes(i(s, d), m(s, d)), " M1 ").select("id"),
+        "work_edges": lambda s, d: views.work_edges(fixed(i(s, d)), fixed(m(s, d))),
+        "item_impact": lambda s, d: graph.item_impact(fixed(aliased(s, d)), fixed(m(s, d))),
+        "action_labels": lambda s, d: diff.with_labels(i(s, d, detect_removed=True)).select("name", "label", "hint"),
+        "status_labels": lambda s, d: diff.with_labels(i(s, d, detect_removed=True), add_only=False).select("name", "label", "hint"),
+        "session_summary": lambda s, d: session_summary(s, d).drop("cycle_count"),
+        "session_message": lambda s, d: diff.message(session_summary(s, d)),
+        "snippets": lambda s, d: report.snippets(i(s, d)),
+        "yaml_sources": lambda s, d: synth.yaml_models(s).select("name", "type", joined("sources"), joined("columns")),
+        "flow_chains": lambda s, d: graph.flow_chains(fixed(i(s, d)), fixed(m(s, d))),
         # Without SQL: similarity by matching blocks, order by a heap, walks (of cycles in warnings_all, too), and prose.
         "warnings_all": warnings_all,
         "rename_match": lambda s, d: match.renames(fixed(rules_orphans(s, d)), fixed(rules_free(s, d))),
@@ -166,10 +183,10 @@ def queries() -> dict:
         "order_meta": lambda s, d: views.order_meta(fixed(i(s, d)), fixed(m(s, d))),
         "cycle_paths": lambda s, d: graph.find_cycles(fixed(m(s, d))),
         "lane_layout": lambda s, d: views.lanes(fixed(views.lineage_nodes(i(s, d), m(s, d))), fixed(views.lineage_edges(i(s, d), m(s, d)))),
-        "flow_chains": lambda s, d: graph.flow_chains(fixed(i(s, d)), fixed(m(s, d))),
+        "cycle_report": lambda s, d: graph.cycle_report(fixed(m(s, d))),
+        "session_summary_all": lambda s, d: session_summary(s, d, warnings_all),
+        "focus_order": lambda s, d: views.focus_order(fixed(i(s, d)), graph.topo_order(fixed(i(s, d)), fixed(m(s, d)))),
         "roadmap_markdown": lambda s, d: report.roadmap(fixed(i(s, d)), graph.topo_order(fixed(i(s, d)), fixed(m(s, d)))),
-        "snippets": lambda s, d: report.snippets(i(s, d)),
-        "yaml_sources": lambda s, d: synth.yaml_models(s).select("name", "type", joined("sources"), joined("columns")),
     }
     return out
 
