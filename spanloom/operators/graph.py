@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
-from ..plans.tables import written
+from ..plans.tables import numbered, written
 
 
 def edges(models: DataFrame) -> DataFrame:
@@ -154,34 +152,55 @@ def order_key(items: DataFrame) -> DataFrame:
     return items.where("pending").select("name", P.layer_rank(F.col("layer")).alias("rank"), boost.alias("boost"))
 
 
+def behind_cycles(edges: DataFrame) -> DataFrame:
+    """(name) of what is on a cycle of the edges (dependent, ref) or depends on one: what is left when references to what has none are taken away again and again."""
+    left = written(edges.select("dependent", "ref").distinct(), "order")
+    count = left.count()
+    while count:
+        left = written(left.join(left.select(F.col("dependent").alias("ref")).distinct(), "ref", "left_semi").select("dependent", "ref"), "order")
+        before, count = count, left.count()
+        if count == before:
+            break
+    return left.select(F.col("dependent").alias("name")).distinct()
+
+
+def highest_before(keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """keys (name, key) with the greatest key among each node and all that it refers to, in any number of steps, as `top`. The edges (dependent, ref) have no cycle; values are passed on until none changes."""
+    top = written(keys.withColumn("top", F.col("key")), "order")
+    while True:
+        up = edges.join(top.select(F.col("name").alias("ref"), F.col("top").alias("of_ref")), "ref").groupBy(F.col("dependent").alias("name")).agg(F.max("of_ref").alias("of_refs"))
+        new = written(top.join(up, "name", "left").select("name", "key", F.greatest("top", F.coalesce("of_refs", "top")).alias("top"), (F.col("of_refs") > F.col("top")).alias("changed")), "order")
+        top = new.select("name", "key", "top")
+        if new.where("changed").isEmpty():
+            return top
+
+
 def topo_order(items: DataFrame, models: DataFrame) -> DataFrame:
     """(ord, name, blocked): pending items so that references come first and, among what is ready, the smallest (layer rank, kind, name); what is on or behind a cycle comes last, by the same key, as blocked.
 
-    Always taking the smallest ready item is sequential, so the pending items and the edges among them are walked on
-    the driver with a heap; all else of the project stays in Spark.
+    Always taking the smallest ready item gives the order of each item's greatest key among itself and all before it: an
+    item waits for the one with that key, and is then smaller than all else that waits. Items of the same greatest key are
+    the one that has it, then the others in the order that the same rule gives among them alone. So an item's place is
+    a list of keys, found in as many turns as references go from a later to an earlier key one after another on a way.
     """
-    spark = items.sparkSession
-    pending = order_key(items)
-    key = {r["name"]: (r["rank"], r["boost"], r["name"]) for r in pending.collect()}
-    inner = edges(models).join(pending.select(F.col("name").alias("dependent")), "dependent", "left_semi").join(pending.select(F.col("name").alias("ref")), "ref", "left_semi")
-    uses: dict[str, list[str]] = {}
-    waits = dict.fromkeys(key, 0)
-    for r in inner.select("dependent", "ref").collect():
-        uses.setdefault(r["ref"], []).append(r["dependent"])
-        waits[r["dependent"]] += 1
-    ready = [key[n] for n, w in waits.items() if not w]
-    heapq.heapify(ready)
-    out = []
-    while ready:
-        name = heapq.heappop(ready)[2]
-        out.append(name)
-        for d in uses.get(name, []):
-            waits[d] -= 1
-            if not waits[d]:
-                heapq.heappush(ready, key[d])
-    rest = sorted((key[n] for n in set(key) - set(out)))
-    rows = [(i, n, False) for i, n in enumerate(out)] + [(len(out) + i, k[2], True) for i, k in enumerate(rest)]
-    return spark.createDataFrame(rows, "ord int, name string, blocked boolean")
+    pending = written(order_key(items).select("name", F.struct("rank", "boost", "name").alias("key")), "order")
+    names = lambda c: pending.select(F.col("name").alias(c))
+    inner = written(edges(models).join(names("dependent"), "dependent", "left_semi").join(names("ref"), "ref", "left_semi").select("dependent", "ref"), "order")
+    blocked = written(behind_cycles(inner), "order")
+    left = pending.join(blocked, "name", "left_anti").withColumn("place", F.array().cast(f"array<{pending.schema['key'].dataType.simpleString()}>"))
+    open_edges = inner.join(blocked, inner["dependent"] == blocked["name"], "left_anti")
+    done = pending.join(blocked, "name", "left_semi").select("name", F.array("key").alias("place"), F.lit(True).alias("blocked"))
+    while True:
+        top = highest_before(left.select("name", "key"), open_edges)
+        placed = written(left.join(top.select("name", "top"), "name").select("name", "key", F.concat("place", F.array("top")).alias("place"), (F.col("top") == F.col("key")).alias("first")), "order")
+        done = done.unionByName(placed.where("first").select("name", "place", F.lit(False).alias("blocked")))
+        left = placed.where("not first").drop("first")
+        if left.isEmpty():
+            break
+        # Only references within the rest of a group still count.
+        at = lambda c: left.select(F.col("name").alias(c), F.col("place").alias(f"{c}_place"))
+        open_edges = written(open_edges.join(at("dependent"), "dependent").join(at("ref"), "ref").where("dependent_place = ref_place").select("dependent", "ref"), "order")
+    return numbered(done, ["blocked", "place"], "ord", "order").select(F.col("ord").cast("int").alias("ord"), "name", "blocked")
 
 
 def impact(models: DataFrame, reach: DataFrame | None = None) -> DataFrame:

@@ -174,3 +174,26 @@ def test_lanes_against_a_plain_loop(spark, monkeypatch, one_sort):
             place |= {n: k for k, n in enumerate(sorted(middle, key=lambda n: (middle[n], n)))}
     got = views.lanes(spark.createDataFrame(list(nodes.items()), "id string, layer string"), spark.createDataFrame(list(edges), "source string, target string"))
     assert {r["id"]: r["lane"] for r in got.collect()} == place | {"m1": 0}
+
+
+def test_order_takes_the_smallest_that_is_ready(spark):
+    """Against a heap, where references go to earlier and later layers alike."""
+    rng = random.Random(4)
+    layers = ["staging", "intermediate", "marts", "aggregate"]
+    names = [f"n{i:02d}" for i in range(45)]
+    refs_of = {n: rng.sample(names[:k], min(k, rng.randrange(3))) for k, n in enumerate(rng.sample(names, len(names)))}
+    refs_of = {n: [r for r in rs if r != n and r in list(refs_of)[: list(refs_of).index(n)]] for n, rs in refs_of.items()}
+    refs_of["n00"] = [*refs_of["n00"], "n01"]
+    refs_of["n01"] = [*refs_of["n01"], "n00"]  # a cycle
+    where = {n: rng.choice(layers) for n in names}
+    work = catalog.parse_sql_files(spark.createDataFrame([("workspace", f"d/models/{where[n]}/{n}.sql", refs(*refs_of[n]), i) for i, n in enumerate(names)], FILES))
+    items = diff.with_policy(diff.compare(models(spark, "base", {"zz": refs()}), work))
+    key = {r["name"]: (r["rank"], r["boost"], r["name"]) for r in graph.order_key(items).collect()}
+    waits, expected = {n: set(rs) for n, rs in refs_of.items()}, []
+    while ready := [key[n] for n, w in waits.items() if not w]:
+        expected.append(min(ready)[2])
+        del waits[expected[-1]]
+        for w in waits.values():
+            w.discard(expected[-1])
+    got = [(r["name"], r["blocked"]) for r in graph.topo_order(items, work).orderBy("ord").collect()]
+    assert got == [(n, False) for n in expected] + [(k[2], True) for k in sorted(key[n] for n in waits)] and len(waits) >= 2 and len(expected) > 10
