@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a new local folder only where that is not set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.spanloom.local.dir", None)
+    """spark.checkpoint.dir. Where that is not set, a new local folder if driver and executors are one process (as in tests); else an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.spanloom.local.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share with the driver")
         found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.spanloom.local.dir", found)
     return found.rstrip("/")

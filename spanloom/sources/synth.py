@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +44,11 @@ YAML = "sources:\n  - name: raw\n    tables:\n" + "".join(f"      - name: t{i}\n
 
 
 def files(spark: SparkSession, sf_dir: str, project: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").createOrReplaceTempView("part")
-    return spark.sql(FILES).where(F.col("project") == project).select("project", "path", "text", F.col("scan_ord").cast("long").alias("scan_ord"))
+    view = f"part_{uuid.uuid4().hex}"  # the caller may have a view named part
+    spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").createOrReplaceTempView(view)
+    found = spark.sql(FILES.replace("from part ", f"from {view} "))
+    spark.catalog.dropTempView(view)
+    return found.where(F.col("project") == project).select("project", "path", "text", F.col("scan_ord").cast("long").alias("scan_ord"))
 
 
 def models(spark: SparkSession, sf_dir: str, project: str) -> DataFrame:
