@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import shared_dir, written
+
 #: Letters that contracts fold; every other character stays as it is.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -16,28 +17,10 @@ LOWER = UPPER.lower()
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new local one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.spanloom.local.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.spanloom.local.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df as a table written once to the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold_ascii(text: Column) -> Column:
     """A-Z lower-cased, null as empty. Pure ASCII takes lower(), which is the same there and faster."""
     text = F.coalesce(text, F.lit(""))
