@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .memo import Memo, held, sliced, uncollected, units
 
 #: Words that a Python worker remembers (twice as many at most), and the longest of them.
-WORDS_KEPT, LONGEST_KEPT = 250_000, 64
+WORDS_KEPT, LONGEST_KEPT = 160_000, 64
 #: Transitions kept; characters encoded at a time; ids decoded at a time.
-MOST_TRANSITIONS, AT_ONCE, IDS_AT_ONCE = 600_000, 1 << 20, 1 << 14
+MOST_TRANSITIONS, AT_ONCE, IDS_AT_ONCE = 300_000, 1 << 20, 1 << 14
 #: Marks that the pattern cuts from letters before them.
 MARKS = ".,!?;:"
 
@@ -285,7 +285,7 @@ def encoded_digests(docs: DataFrame, *, path: str, pattern: str = public_tokeniz
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, key=("codec", path, pattern)):
             made = []
             own = codec(path, pattern)
             with uncollected():

@@ -35,13 +35,6 @@ class Memo:
         return self.young
 
 
-def sliced(batches: Iterator, rows: int = 256) -> Iterator:
-    """The batches in slices of few rows, so that only their texts are Python objects at a time."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 @contextmanager
 def uncollected() -> Iterator[None]:
     """Without the cycle collector, which would look through all that is remembered again and again: words and what they give hold no cycles."""
@@ -49,7 +42,6 @@ def uncollected() -> Iterator[None]:
     try:
         yield
     finally:
-        gc.freeze()
         gc.enable()
 
 
@@ -64,6 +56,15 @@ def held(key: object, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+def sliced(batches: Iterator, rows: int = 256, *, key: object = None) -> Iterator:
+    """The batches in slices of few rows, so that only their texts are Python objects at a time. What the worker holds under another key is dropped first."""
+    if key not in _HELD:
+        _HELD.clear()
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def units(text: str) -> list[str]:
     """Parts of the text that were joined by single spaces, cut only where both sides are other than white space."""
     return _CUT.split(text) if _WIDE.search(text) else text.split(" ")

@@ -122,7 +122,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str = "doc_
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "chunk", "start", "n_ids", "doc_ids", "lengths", "planes"])
 
         held = 0
-        for b in sliced(batches):
+        for b in sliced(batches, key=("encoder", tokenizer, True)):
             shard = b.column("shard")[0].as_py() if b.num_rows else shard
             with uncollected():
                 encoded = list(encode(b.column("text").to_pylist(), tokenizer, added=True))

@@ -265,7 +265,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score", *, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_of.value
         memo = held(("toxicity", own.id), lambda: Memo(own.score_words, WORDS_KEPT))
-        for b in sliced(batches):
+        for b in sliced(batches, key=("toxicity", own.id)):
             texts, made, at = b.column(b.schema.get_field_index(text)).to_pylist(), [], 0
             while at < len(texts):
                 split, size = [], 0
