@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 #: Single spaces between other than white space: no pre-tokeniser here joins what stands on both sides.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -42,6 +43,7 @@ def uncollected() -> Iterator[None]:
     try:
         yield
     finally:
+        gc.freeze()
         gc.enable()
 
 
@@ -58,8 +60,12 @@ def held(key: object, make: Callable[[], object]) -> object:
 
 def sliced(batches: Iterator, rows: int = 256, *, key: object = None) -> Iterator:
     """The batches in slices of few rows, so that only their texts are Python objects at a time. What the worker holds under another key is dropped first."""
-    if key not in _HELD:
+    gc.unfreeze()  # for what an earlier task left
+    if _HELD and key not in _HELD:
         _HELD.clear()
+        gc.collect()
+        with suppress(AttributeError, OSError):  # glibc keeps freed memory until asked
+            ctypes.CDLL(None).malloc_trim(0)
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
