@@ -27,7 +27,7 @@ from .memo import Memo, held, sliced, uncollected, units
 #: Words that a Python worker remembers (twice as many at most), and the longest of them.
 WORDS_KEPT, LONGEST_KEPT = 200_000, 64
 #: Transitions kept; characters encoded at a time; ids decoded at a time.
-MOST_TRANSITIONS, AT_ONCE, IDS_AT_ONCE = 300_000, 1 << 20, 1 << 14
+MOST_TRANSITIONS, AT_ONCE, IDS_AT_ONCE = 400_000, 1 << 20, 1 << 14
 #: Marks that the pattern cuts from letters before them.
 MARKS = ".,!?;:"
 
