@@ -1,9 +1,9 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
 Distinct vectors are made unit vectors and turned so that the leading coordinates carry most (PCA of a bounded
-sample; it affects speed only). Stripes of the first coordinate are paired where they can hold close vectors,
-and each pair of stripes is one unit of work, compared tile by tile: leading coordinates first, with the
-product of suffix norms as the bound of what the rest can add. Pairs whose bound misses the threshold stop
+sample; it affects speed only). Stripes of the first coordinate, those of many vectors dealt into chunks by a hash,
+are paired where they can hold close vectors, and each pair of chunks is one unit of work of bounded size,
+compared tile by tile: leading coordinates first, with the product of suffix norms as the bound of what the rest can add. Pairs whose bound misses the threshold stop
 there; the others go on with more coordinates, and what is left is confirmed by the full cosine in double precision.
 Each unit passes on numbers of links and spanning edges, never pairs. The comparison is quadratic where the first
 coordinate does not tell vectors apart.
@@ -22,7 +22,7 @@ from .common import components, written
 from .simhash import merge
 
 THRESHOLD = 0.95
-#: Vectors that the PCA is fitted on, vectors of a stripe and of a tile (about), and coordinates at which the bound is looked at.
+#: Vectors that the PCA is fitted on, vectors of a stripe (a chunk has twice as many at most, about) and of a tile, and coordinates at which the bound is looked at.
 SAMPLE, STRIPE, TILE, STEPS = 4096, 4096, 512, (8, 16, 32)
 
 
@@ -78,6 +78,18 @@ def plan(sample: list, threshold: float, stripes: int) -> tuple[dict, list]:
     return bases, reach
 
 
+def chunk_ranges(reach: list, counted: list) -> list:
+    """(dim, stripe, chunks, base, lo, hi) from the stripes within reach and (dim, stripe, chunks): a stripe's chunks (one if none were counted), its first one, and the first and last chunk that may hold close vectors. Chunks of a length are numbered through."""
+    chunks = {(r["dim"], r["stripe"]): r["chunks"] for r in counted}
+    out = []
+    for dim in {r[0] for r in reach}:
+        own = [r for r in reach if r[0] == dim]
+        many = [chunks.get((dim, s), 1) for _, s, _, _ in own]
+        starts = [0, *np.cumsum(many).tolist()]
+        out += [(dim, s, many[s], starts[s], starts[lo], starts[hi + 1] - 1) for _, s, lo, hi in own]
+    return out
+
+
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, stripe: int = STRIPE) -> DataFrame:
     """(key, links, root) from distinct usable vectors (key, embedding, n): for keys linked in a unit of work, the rows linked to in it and the smallest key it hangs together with."""
     spark = vectors.sparkSession
@@ -97,11 +109,17 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, stripe: int = STRIP
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     rows = vectors.select("key", "embedding", "n").mapInArrow(to_stripe, f"key long, embedding {kind}, n long, dim int, stripe int")
-    near = spark.createDataFrame(reach, "dim int, stripe int, lo int, hi int")
-    rows = rows.join(near, ["dim", "stripe"], "left").withColumns({"lo": F.coalesce("lo", "stripe"), "hi": F.coalesce("hi", "stripe")})
-    left = rows.select("key", "embedding", "n", "dim", F.col("stripe").alias("i"), F.explode(F.sequence("stripe", "hi")).alias("j"), F.lit(0).alias("side"))
-    right = rows.where("lo < stripe").select("key", "embedding", "n", "dim", F.explode(F.sequence("lo", F.col("stripe") - 1)).alias("i"), F.col("stripe").alias("j"), F.lit(1).alias("side"))
-    pairs = left.unionByName(right).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "i", "j").sortWithinPartitions("dim", "i", "j", "side")
+    counts = written(rows.groupBy("dim", "stripe").agg(F.ceil(F.count("*") / (2 * stripe)).cast("int").alias("chunks")), "vector-stripes")
+    sampled = F.col("dim").isin(list(bases.value))
+    known = chunk_ranges(reach, counts.where(sampled).collect())  # at most two a vector of the sample
+    # A length too rare for the sample has chunks, too, all in stripe 0.
+    rare = counts.where(~sampled).select("dim", "stripe", "chunks", F.lit(0).alias("base"), F.lit(0).alias("lo"), (F.col("chunks") - 1).alias("hi"))
+    near = spark.createDataFrame(known, "dim int, stripe int, chunks int, base int, lo int, hi int").unionByName(rare)
+    own = F.col("base") + F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
+    rows = rows.join(written(near, "vector-stripes"), ["dim", "stripe"]).withColumn("own", own)
+    met = rows.select("key", "embedding", "n", "dim", "own", F.explode(F.sequence("lo", "hi")).alias("other"))
+    pairs = met.select("key", "embedding", "n", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("other") < F.col("own")).cast("int").alias("side"))
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "i", "j").sortWithinPartitions("dim", "i", "j", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unit_of_work(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:

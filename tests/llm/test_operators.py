@@ -152,7 +152,7 @@ def test_token_ids_of_added_tokens_are_the_librarys(spark, tmp_path):
     assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [[*x, 1] for x in ids]
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 24))
     x = np.concatenate([base, base[:30] + 0.2 * rng.normal(size=(30, 24)), base[:5], rng.normal(size=(60, 24))]).astype(np.float32)
@@ -164,6 +164,25 @@ def test_embeddings(spark):
     for stripe in (20, 4096):
         got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df, stripe=stripe).collect()}
         assert got == {i: (int(linked[i].sum()) - 1, expected[i], expected[i] == i) for i in range(len(x))}
+    # Equal leading coordinates of all vectors, and a length that no sample shows: one stripe, in many chunks.
+    wide = np.c_[np.full(90, 3.0), rng.normal(size=(90, 6))]
+    wide[60:] = wide[:30] + 0.1 * rng.normal(size=(30, 7))
+    rest = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate([*wide, *rest])] + [(None, [9.0] * 5), (None, [9.0] * 5)], "vec_id long, embedding array<double>")
+    expected = np.zeros((130, 130), bool)
+    for at in (slice(0, 90), slice(90, 130)):
+        x = np.array([*wide] if at.start == 0 else [*rest])
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        expected[at, at] = x @ x.T >= 0.95
+    np.fill_diagonal(expected, True)
+    least = labels_of(130, expected)
+    for sample in (4096, 3):
+        monkeypatch.setattr(embedding_dedup, "SAMPLE", sample)
+        rows = embedding_dedup.near_vectors(df, stripe=4).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows if r["vec_id"] is not None} == {i: (int(expected[i].sum()) - 1, least[i]) for i in range(130)}
+        assert [tuple(r) for r in rows if r["vec_id"] is None] == [(None, 1, None, True)] * 2
+    none = spark.createDataFrame([], df.schema)
+    assert embedding_dedup.near_vectors(none).collect() == []
     odd = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0, 0.0]), (8, [])]
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<float>")).collect()}
     assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0}
