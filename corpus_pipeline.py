@@ -2,6 +2,11 @@
 
 Every stage works on all that its predecessor kept and reads nothing else but what it names: toxicity learns from
 the labels of the documents that it is given.
+
+Null texts count as empty, and empty texts are texts: equal to each other, with fingerprint zero. A null doc_id is below
+all others where the largest stays and above them where the smallest stays; repeated rows leave one. Texts are taken whole, however
+long. Further columns go through as they are, whatever their names. Without toxic labels to learn from no document
+is rejected; empty tables give empty results.
 """
 
 from __future__ import annotations
