@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
@@ -21,6 +21,49 @@ def lineage_nodes(items: DataFrame, models: DataFrame) -> DataFrame:
     return own.unionByName(rest.select("id", layer.alias("layer"), F.lit("IGUAL").alias("status"), F.lit("exists").alias("policy_action")))
 
 
+def visual(append: str) -> Column:
+    """How a node is shown, from status and policy_action; append: the word for what is extended."""
+    return (
+        F.when((F.col("policy_action") == "create") | (F.col("status") == "NOVO"), "new")
+        .when(F.col("policy_action") == "append", append)
+        .when((F.col("policy_action") == "skip") | (F.col("status") == "REMOVIDO"), "locked")
+        .when(F.col("policy_action") == "review", "review")
+        .otherwise("exist")
+    )
+
+
+#: Columns, and direct neighbours of a kind, that a node of the lineage lists; the counts are of all.
+MOST_COLUMNS, MOST_NEAR = 24, 16
+
+
+def listed(pairs: DataFrame, key: str, keys: list[str], value: str, name: str, most: int) -> DataFrame:
+    """(id, n_<name>, <name>): for each key how many values there are, and the first of them by the keys, as an array. No group is held whole."""
+    counts = pairs.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(f"n_{name}"))
+    ranked = pairs.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*keys))).where(F.col("k") <= most)
+    first = ranked.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct("k", F.col(value).alias("v")))).alias("first"))
+    return counts.join(first, "id").select("id", f"n_{name}", F.transform("first", lambda x: x["v"]).alias(name))
+
+
+def lineage_details(items: DataFrame, models: DataFrame) -> DataFrame:
+    """lineage_nodes() with visual, path, domain, columns and direct neighbours: counts, and the first of each (references in their order, dependents by name).
+
+    Sources that are no items have the status SOURCE. Names that no model has show no path, no columns and no neighbours.
+    """
+    e = graph.edges(models)
+    known = graph.nodes(models).select(F.col("id").alias("ref"))
+    uses = listed(e, "dependent", ["ord"], "ref", "depends_on", MOST_NEAR)
+    used = listed(e.join(known, "ref", "left_semi"), "ref", ["dependent"], "dependent", "used_by", MOST_NEAR)
+    of = ["path", "domain", "columns"]
+    own = items.select(F.col("name").alias("id"), F.lit(True).alias("item"), *of)
+    about = own.unionByName(models.select(F.col("name").alias("id"), F.lit(False).alias("item"), *of).join(own.select("id"), "id", "left_anti"))
+    rows = lineage_nodes(items, models).join(about, "id", "left").join(uses, "id", "left").join(used, "id", "left")
+    none = F.array().cast("array<string>")
+    status = F.when(F.startswith("id", F.lit("source.")) & ~F.coalesce("item", F.lit(False)), "SOURCE").otherwise(F.col("status"))
+    counts = [x for c in ("depends_on", "used_by") for x in (F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}"), F.coalesce(c, none).alias(c))]
+    columns = F.coalesce("columns", none)
+    return rows.select("id", "layer", status.alias("status"), visual("append").alias("visual"), "policy_action", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("domain", F.lit("")).alias("domain"), F.size(columns).cast("long").alias("n_columns"), F.slice(columns, 1, MOST_COLUMNS).alias("columns"), *counts)
+
+
 def lineage_edges(items: DataFrame, models: DataFrame) -> DataFrame:
     """(source, target): edges of the graph between nodes of the lineage."""
     nodes = lineage_nodes(items, models).select("id")
@@ -56,6 +99,64 @@ def work_edges(items: DataFrame, models: DataFrame) -> DataFrame:
     return e.join(work.withColumnRenamed("id", "source"), "source", "left_semi").select("source", "target").unionByName(e.join(work.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")).distinct()
 
 
+#: Files to build again that the head of a view names.
+MOST_RECOMPILED = 12
+
+
+def macro_views(items: DataFrame, models: DataFrame, base: DataFrame, foci: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and heads of the view around each focus (focus): pending items where none are given.
+
+    Nodes (focus, id, layer, visual, origin, status, policy_action, add_count): the focus, all that it reaches in either
+    direction, and the base model that it stands for. origin: base, workspace, both (changed, or known to both), or context
+    (a name that no model has).
+    Edges (focus, source, target, kind): those between nodes of the view; new where the target is created or the reference is
+    added, else exist.
+    Heads (focus, mode, n_recompile, recompile): create, append or context; how many models are downstream, and the
+    nearest of them, at one distance by name.
+    """
+    roots = written((items.where("pending").select(F.col("name").alias("focus")) if foci is None else foci.select("focus")).distinct(), "foci")
+    start = roots.withColumnRenamed("focus", "root")
+    down = written(graph.downstream(models, start), "views")
+    pairs = graph.upstream(models, start).unionByName(down).select(F.col("root").alias("focus"), F.col("node").alias("id"))
+    stands_for = items.where("match_name is not null").select(F.col("name").alias("focus"), F.col("match_name").alias("id")).join(roots, "focus", "left_semi")
+    members = written(pairs.unionByName(roots.withColumn("id", F.col("focus"))).unionByName(stands_for).distinct(), "views")
+
+    own = items.select(F.col("name").alias("id"), "status", "policy_action", "add_count", F.col("layer").alias("own_layer"))
+    named = lambda df, c: df.select(F.col("name").alias("id"), F.lit(True).alias(c))
+    rows = members.select("id").distinct().join(own, "id", "left").join(named(base, "in_base"), "id", "left").join(models.select(F.col("name").alias("id"), F.lit(True).alias("known"), F.col("layer").alias("model_layer")), "id", "left")
+    source, in_base = F.startswith("id", F.lit("source.")), F.col("in_base").isNotNull()
+    origin = (
+        F.when(source, "base")
+        .when(in_base & F.col("status").isin("NOVO", "ALTERADO", "RENOMEADO"), "both")
+        .when((F.col("status") == "NOVO") | (~in_base & F.col("known").isNotNull()), "workspace")
+        .when(in_base, "base")
+        .otherwise("context")
+    )
+    layer = F.coalesce("own_layer", F.when(source, "source"), "model_layer", P.layer(F.col("id")))
+    about = rows.select(
+        "id",
+        layer.alias("layer"),
+        visual("add").alias("visual"),
+        origin.alias("origin"),
+        F.coalesce("status", F.when(source, "SOURCE").otherwise("IGUAL")).alias("status"),
+        F.coalesce("policy_action", F.when(source | in_base, "exists").otherwise("create")).alias("policy_action"),
+        F.coalesce("add_count", F.lit(0)).alias("add_count"),
+    )
+    nodes = members.join(about, "id").select("focus", *about.columns)
+
+    brought = items.select(F.col("name").alias("target"), F.explode("add_items").alias("i")).where("i.kind = 'referência'").select("target", F.col("i.name").alias("source"), F.lit(True).alias("added")).distinct()
+    made = items.where("policy_action = 'create' or status = 'NOVO'").select(F.col("name").alias("target"), F.lit(True).alias("made"))
+    e = graph.edges(models).select(F.col("ref").alias("source"), F.col("dependent").alias("target")).join(made, "target", "left").join(brought, ["source", "target"], "left")
+    e = e.select("source", "target", F.when(F.col("made") | F.col("added"), "new").otherwise("exist").alias("kind"))
+    inside = members.withColumnRenamed("id", "target").join(e, "target").join(members.withColumnRenamed("id", "source"), ["focus", "source"], "left_semi")
+
+    mode = F.when((F.col("policy_action") == "create") | (F.col("status") == "NOVO"), "create").when(F.col("policy_action") == "append", "append").otherwise("context")
+    again = listed(down, "root", ["dist", "node"], "node", "recompile", MOST_RECOMPILED).withColumnRenamed("id", "focus")
+    heads = roots.join(items.select(F.col("name").alias("focus"), mode.alias("mode")), "focus", "left").join(again, "focus", "left")
+    heads = heads.select("focus", F.coalesce("mode", F.lit("context")).alias("mode"), F.coalesce("n_recompile", F.lit(0)).alias("n_recompile"), F.coalesce("recompile", F.array().cast("array<string>")).alias("recompile"))
+    return nodes, inside.select("focus", "source", "target", "kind"), heads
+
+
 def search(nodes: DataFrame, text: str) -> DataFrame:
     """Nodes whose id contains the trimmed text in any case; an empty text finds all."""
     return nodes.where(F.contains(F.lower("id"), F.lit(text.strip().lower())))
@@ -67,6 +168,17 @@ def focus_order(items: DataFrame, order: DataFrame) -> DataFrame:
     return items.where("pending").select("name").join(order.select("name", "ord"), "name", "left").select(F.row_number().over(Window.orderBy(at, "name")).alias("pos"), "name")
 
 
+#: Place in the order of items that it does not hold.
+NO_ORDER = 999
+
+
+def checklist(items: DataFrame, order: DataFrame) -> DataFrame:
+    """(pos, name, status, suggested_order) of all items from 0: what is open first, then by layer rank, suggested order and name. Numbered by ranges, not in one task."""
+    rows = items.select("name", "status", "layer_order").join(order.select("name", "ord"), "name", "left")
+    rows = rows.select("name", "status", "layer_order", (F.col("status") == "IGUAL").alias("equal"), F.coalesce("ord", F.lit(NO_ORDER)).alias("suggested_order"))
+    return numbered(rows, ["equal", "layer_order", "suggested_order", "name"], "pos", "checklist").select("pos", "name", "status", "suggested_order")
+
+
 def order_meta(items: DataFrame, models: DataFrame) -> DataFrame:
     """One row: the order, its part before anything blocked, what is blocked (on a cycle, or behind one), and the number of cycles."""
     order = graph.topo_order(items, models)

@@ -81,6 +81,11 @@ def dist(src: str, dst: str, roots: str) -> str:
     return f", r(root, node, dist) as (select {src}, {dst}, 1 from e where {src} in {roots} union select r.root, e.{dst}, r.dist + 1 from r join e on e.{src} = r.node where r.dist < 24), d as (select root, node, min(dist)::int as dist from r group by 1, 2)"
 
 
+def both(roots: str) -> str:
+    """Pairs (root, node) downward in r and upward in t."""
+    return reach("ref", "dependent", roots) + reach("dependent", "ref", roots).replace(" r(", " t(").replace("select r.root", "select t.root").replace("from r join", "from t join").replace("= r.node", "= t.node")
+
+
 def query(*parts: str, select: str, recursive: bool = False) -> str:
     return ("with recursive" if recursive else "with") + MODELS + "".join(parts) + "\n" + select
 
@@ -146,6 +151,13 @@ def oracle_sql() -> dict[str, str]:
     said = lambda key: "'" + re.sub(r"\{(\w+)\}", r"' || \1 || '", V.MESSAGES[key]) + "'"
     listed = lambda f, line: f"list_transform(add_{f}[1:20], lambda x: {line})"
     snippet = " || ".join(f"coalesce(chr(10) || array_to_string(nullif({x}, []), chr(10)), '')" for x in (listed("columns", "'  , ' || x"), listed("refs", "'-- {{ ref(''' || x || ''') }}'"), listed("sources", "'-- {{ source(''' || replace(x, '.', ''', ''') || ''') }}'"), listed("joins", "'-- ' || x"), listed("casts", "'-- ' || x")))
+    ignored = "flatten([list_transform(i.del_columns, lambda x: 'coluna removida no ZIP (ignore): ' || x), list_transform(i.del_refs, lambda x: 'referência removida no ZIP (ignore): ' || x), case when i.wc <> i.bc then ['SQL/corpo diferente no ZIP — NÃO reescreva o arquivo principal'] else [] end])"
+    snippet += " || case when policy_action = 'append' then case when len(b.columns) > 0 then chr(10) || '-- já na base: ' || array_to_string(b.columns[1:20], ', ') || case when len(b.columns) > 20 then ' … +' || (len(b.columns) - 20)::varchar else '' end else '' end || coalesce(chr(10) || array_to_string(nullif(list_transform(" + ignored + "[1:8], lambda x: '-- ! ' || x), []), chr(10)), '') else '' end"
+    place = "array_to_string(flatten([add_columns, add_refs, add_sources, add_joins, add_casts]), ',')"
+    details = f"lx as (select l.id, l.layer, case when i.name is null and starts_with(l.id, 'source.') then 'SOURCE' else l.status end as status, case coalesce(i.policy_action, 'exists') when 'create' then 'new' when 'append' then 'append' when 'skip' then 'locked' else 'exist' end as visual, coalesce(i.policy_action, 'exists') as policy_action, coalesce(m.columns, []) as cols from l left join i on i.name = l.id left join m on m.name = l.id), k1 as (select dependent as id, count(*) as n, string_agg(ref, ',' order by ord) filter (ord < 16) as names from e group by 1), k2 as (select ref as id, count(*) as n, string_agg(dependent, ',' order by k) filter (k <= 16) as names from (select ref, dependent, row_number() over (partition by ref order by dependent) as k from e where ref in (select id from ids)) group by 1)"
+    open_items = "(select name from i where status in ('NOVO', 'ALTERADO'))"
+    members = f", mem as (select root as focus, node as id from r union select root, node from t union select name, name from {open_items})"
+    node = f"nd as (select x.id, coalesce(i.layer, case when starts_with(x.id, 'source.') then 'source' end, m.layer, (select {LAYER} from (select x.id as path))) as layer, case coalesce(i.policy_action, '') when 'create' then 'new' when 'append' then 'add' when 'skip' then 'locked' else 'exist' end as visual, case when starts_with(x.id, 'source.') then 'base' when b.name is not null and coalesce(i.status, '') in ('NOVO', 'ALTERADO') then 'both' when i.status = 'NOVO' or (b.name is null and m.name is not null) then 'workspace' when b.name is not null then 'base' else 'context' end as origin, coalesce(i.status, case when starts_with(x.id, 'source.') then 'SOURCE' else 'IGUAL' end) as status, coalesce(i.policy_action, case when starts_with(x.id, 'source.') or b.name is not null then 'exists' else 'create' end) as policy_action, coalesce(i.add_count, 0)::int as add_count from (select distinct id from mem) x left join i on i.name = x.id left join m on m.name = x.id left join b on b.name = x.id)"
     first = f"order by (status = 'NOVO')::int, {RANK('layer')}, name"
     chains = f", sd as (select row_number() over ({first}) - 1 as ord, name from i where status in ('NOVO', 'ALTERADO') and layer in ('source', 'sample', 'staging', 'seed') qualify ord < 12), st as (select ref, min(dependent) as next from e where dependent in (select name from i) group by 1), ch(ord, k, name) as (select ord, 0, name from sd union all select ord, k + 1, next from ch join st on st.ref = ch.name where k < 6)"
     words = chosen("status", {"NOVO": "criar", "ALTERADO": "atualizar", "IGUAL": "ok"})
@@ -156,7 +168,11 @@ def oracle_sql() -> dict[str, str]:
         "status_labels": labels("status", V.STATUS_LABEL, V.STATUS_HINT),
         "session_summary": q(*every_warning, select="select * from su"),
         "session_message": q(*every_warning, select=f"select case when workspace_models = 0 then {said('empty')} when pending = 0 and critical = 0 then {said('done')} when critical > 0 then {said('critical')} when acrescentar > 0 then {said('append')} when policy_blocks > 0 and novo > 0 then {said('create')} when policy_blocks > 0 then {said('nothing')} else '' end as message from su"),
-        "snippets": q(ITEMS, select=f"select i.name, policy_action, case policy_action when 'create' then '-- criar: ' else '-- acrescentar em: ' end || w.path || {snippet} as snippet from i join w on w.name = i.name where policy_action in ('create', 'append')"),
+        "snippets": q(ITEMS, select=f"select i.name, policy_action, case policy_action when 'create' then '-- criar: ' else '-- acrescentar em: ' end || w.path || {snippet} as snippet, {place} as place, coalesce(array_to_string(b.columns, ','), '') as present, array_to_string({ignored}, chr(10)) as attention from i join w on w.name = i.name left join b on b.name = i.name where policy_action in ('create', 'append')"),
+        "lineage_details": q(ITEMS, EDGES, ", " + lineage, ", " + details, select="select lx.id, layer, status, visual, policy_action, len(cols)::bigint as n_columns, array_to_string(cols[1:24], ',') as columns, coalesce(k1.n, 0) as n_depends_on, coalesce(k1.names, '') as depends_on, coalesce(k2.n, 0) as n_used_by, coalesce(k2.names, '') as used_by from lx left join k1 on k1.id = lx.id left join k2 on k2.id = lx.id"),
+        "macro_nodes": q(ITEMS, EDGES, both(open_items), members, ", " + node, select="select focus, nd.* from mem join nd on nd.id = mem.id", recursive=True),
+        "macro_edges": q(ITEMS, EDGES, both(open_items), members, select="select a.focus, e.ref as source, e.dependent as target, case when i.status = 'NOVO' or list_contains(i.add_refs, e.ref) then 'new' else 'exist' end as kind from mem a join e on e.dependent = a.id join mem z on z.focus = a.focus and z.id = e.ref left join i on i.name = e.dependent", recursive=True),
+        "macro_heads": q(ITEMS, EDGES, dist("ref", "dependent", open_items), ", k as (select root, node, row_number() over (partition by root order by dist, node) as k from d)", select=f"select i.name as focus, case policy_action when 'create' then 'create' when 'append' then 'append' else 'context' end as mode, (select count(*) from d where d.root = i.name) as n_recompile, coalesce((select string_agg(node, ',' order by k) from k where k.root = i.name and k <= 12), '') as recompile from i where i.name in {open_items}", recursive=True),
         "yaml_sources": f"select '_sources' as name, 'source' as type, (select string_agg('raw.t' || range, ',' order by range) from range({DECLARED})) as sources, 'stg_m5' as columns",
         "flow_chains": q(ITEMS, EDGES, chains, select=f"select ord::int as ord, string_agg(ch.name || ' (' || {words} || ')', ' → ' order by k) as chain from ch join i on i.name = ch.name group by ord", recursive=True),
         "status_diff": q(ITEMS, select="select name, status from i union all select name, 'REMOVIDO' from gone"),

@@ -103,6 +103,25 @@ def session_summary(s: SparkSession, d: str, warned=warnings_sorted) -> DataFram
     return diff.session_summary(fixed(synth.items(s, d)), warned(s, d), synth.base(s, d), synth.workspace(s, d))
 
 
+def lineage_details(s: SparkSession, d: str) -> DataFrame:
+    rows = views.lineage_details(fixed(synth.items(s, d)), fixed(synth.merged(s, d)))
+    return rows.select("id", "layer", "status", "visual", "policy_action", "n_columns", joined("columns"), "n_depends_on", joined("depends_on"), "n_used_by", joined("used_by"))
+
+
+def macro(part: int):
+    """Nodes, edges or heads of the views around all pending items."""
+    return lambda s, d: views.macro_views(fixed(synth.items(s, d)), fixed(synth.merged(s, d)), fixed(synth.base(s, d)))[part]
+
+
+def ordered(f):
+    """f over all items and their order."""
+    def run(s: SparkSession, d: str) -> DataFrame:
+        items = fixed(synth.items(s, d))
+        return f(items, graph.topo_order(items, fixed(synth.merged(s, d))))
+
+    return run
+
+
 def aliased(s: SparkSession, d: str) -> DataFrame:
     return synth.items(s, d, aliases=diff.alias_table(s, ALIASES))
 
@@ -167,6 +186,10 @@ def queries() -> dict:
         "ego_view_all": ego_view_all,
         "path_edges": lambda s, d: views.path_edges(fixed(m(s, d)), "int_m6"),
         "node_search": lambda s, d: views.search(views.lineage_nodes(i(s, d), m(s, d)), " M1 ").select("id"),
+        "lineage_details": lineage_details,
+        "macro_nodes": macro(0),
+        "macro_edges": macro(1),
+        "macro_heads": lambda s, d: macro(2)(s, d).select("focus", "mode", "n_recompile", joined("recompile")),
         "work_edges": lambda s, d: views.work_edges(fixed(i(s, d)), fixed(m(s, d))),
         "item_impact": lambda s, d: graph.item_impact(fixed(aliased(s, d)), fixed(m(s, d))),
         "action_labels": lambda s, d: diff.with_labels(i(s, d, detect_removed=True)).select("name", "label", "hint"),
@@ -185,8 +208,10 @@ def queries() -> dict:
         "lane_layout": lambda s, d: views.lanes(fixed(views.lineage_nodes(i(s, d), m(s, d))), fixed(views.lineage_edges(i(s, d), m(s, d)))),
         "cycle_report": lambda s, d: graph.cycle_report(fixed(m(s, d))),
         "session_summary_all": lambda s, d: session_summary(s, d, warnings_all),
-        "focus_order": lambda s, d: views.focus_order(fixed(i(s, d)), graph.topo_order(fixed(i(s, d)), fixed(m(s, d)))),
-        "roadmap_markdown": lambda s, d: report.roadmap(fixed(i(s, d)), graph.topo_order(fixed(i(s, d)), fixed(m(s, d)))),
+        "focus_order": ordered(views.focus_order),
+        "checklist": ordered(views.checklist),
+        "roadmap_steps": ordered(report.roadmap_steps),
+        "roadmap_markdown": ordered(report.roadmap),
     }
     return out
 

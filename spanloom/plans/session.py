@@ -50,7 +50,7 @@ def problems(config: Config) -> list[str]:
 
 
 def run(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
-    """Tables of a session: items, models, warnings, order, cycles, summary, impact, lineage_nodes, lineage_edges, chains, patterns."""
+    """Tables of a session: items, models, warnings, order, cycles, summary, impact, checklist, lineage_nodes, lineage_edges, chains, patterns."""
     if found := problems(config):
         raise ValueError("; ".join(found))
     load = lambda root, project, include: written(catalog.dedupe(catalog.parse(read_project(spark, root, project, include))), project)
@@ -67,7 +67,7 @@ def run(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     renamed = match.renames(written(orphans, "orphans"), written(free, "free"), config.match_threshold)
     items = written(diff.with_policy(diff.compare(base, work, aliases=aliases, renames=renamed, detect_removed=config.detect_removed)), "items")
     models = written(catalog.merged(base, work), "models")
-    order = graph.topo_order(items, models)
+    order = written(graph.topo_order(items, models), "order")
     return {
         "items": items,
         "models": models,
@@ -76,7 +76,8 @@ def run(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
         "cycles": graph.find_cycles(models),
         "summary": diff.summary(items),
         "impact": graph.impact(models),
-        "lineage_nodes": views.lineage_nodes(items, models),
+        "checklist": views.checklist(items, order),
+        "lineage_nodes": views.lineage_details(items, models),
         "lineage_edges": views.lineage_edges(items, models),
         "chains": graph.flow_chains(items, models),
         "patterns": catalog.patterns(base),

@@ -3,8 +3,9 @@ import statistics
 
 import pytest
 
-from spanloom.operators import catalog, diff, graph, match, rules, verify, views
+from spanloom.operators import catalog, diff, graph, match, report, rules, verify, views
 from spanloom.plans import queries
+from spanloom.plans.tables import written
 from spanloom.sources import synth
 
 FILES = "project string, path string, text string, scan_ord long"
@@ -197,3 +198,43 @@ def test_order_takes_the_smallest_that_is_ready(spark):
             w.discard(expected[-1])
     got = [(r["name"], r["blocked"]) for r in graph.topo_order(items, work).orderBy("ord").collect()]
     assert got == [(n, False) for n in expected] + [(k[2], True) for k in sorted(key[n] for n in waits)] and len(waits) >= 2 and len(expected) > 10
+
+
+def test_views_around_open_items(spark):
+    base = models(spark, "base", {"a": refs(), "old": refs("a"), "gone": refs("a"), "far": refs("old", "lost")})
+    work = models(spark, "workspace", {"a": refs(), "z": refs("a") + " where x = 1", "n": refs("z", "a"), "far": refs("old", "lost", "n")})
+    items = written(diff.with_policy(diff.compare(base, work, aliases=diff.alias_table(spark, {"z": "old"}), detect_removed=True)), "items")
+    base, every = written(base, "base"), written(catalog.merged(base, work), "models")
+    nodes, edges, heads = views.macro_views(items, every, base)
+    got = {r["focus"]: (r["mode"], r["n_recompile"], r["recompile"]) for r in heads.collect()}
+    assert got == {"n": ("create", 1, ["far"]), "z": ("append", 2, ["n", "far"]), "far": ("append", 0, [])}
+    shown = {r["id"]: (r["visual"], r["origin"], r["status"], r["policy_action"]) for r in nodes.where("focus = 'z'").collect()}
+    assert shown == {
+        "a": ("exist", "base", "IGUAL", "exists"),
+        "z": ("add", "workspace", "ALTERADO", "append"),
+        "n": ("new", "workspace", "NOVO", "create"),
+        "far": ("add", "both", "ALTERADO", "append"),
+        "old": ("exist", "base", "IGUAL", "exists"),
+    }
+    assert {(r["source"], r["target"]): r["kind"] for r in edges.where("focus = 'z'").collect()} == {("a", "z"): "new", ("a", "old"): "exist", ("a", "n"): "new", ("z", "n"): "new", ("n", "far"): "new", ("old", "far"): "exist"}
+    assert {r["id"]: r["origin"] for r in nodes.where("focus = 'far'").collect()}["lost"] == "context"
+
+    about = {r["id"]: r for r in views.lineage_details(items, every).collect()}
+    far = about["far"]
+    assert (far["visual"], far["n_depends_on"], far["depends_on"], far["n_used_by"], far["used_by"]) == ("append", 3, ["lost", "n", "old"], 0, [])
+    assert (about["a"]["n_used_by"], about["a"]["used_by"], about["lost"]["columns"], about["lost"]["n_used_by"]) == (4, ["gone", "n", "old", "z"], [], 0)
+    assert about["gone"]["visual"] == "locked" and far["columns"] == ["id_key"] and far["n_columns"] == 1
+
+    order = written(graph.topo_order(items, every), "order")
+    place = {r["name"]: r["ord"] for r in order.collect()}
+    keyed = sorted((r["status"] == "IGUAL", r["layer_order"], place.get(r["name"], 999), r["name"]) for r in items.collect())
+    assert [tuple(r) for r in views.checklist(items, order).orderBy("pos").select("pos", "name", "suggested_order").collect()] == [(i, k[3], k[2]) for i, k in enumerate(keyed)]
+    steps = report.roadmap_steps(items, order).orderBy("step").collect()
+    assert [(r["step"], r["name"]) for r in steps] == [(1, "z"), (2, "n"), (3, "far")]
+    assert report.roadmap(items, order).first()["markdown"].split("\n")[2:] == [r["line"] for r in steps]
+    snippet = {r["name"]: r for r in report.snippets(items).collect()}
+    assert snippet["far"]["snippet"].split("\n")[1:] == ["-- {{ ref('n') }}", "-- já na base: id_key", "-- ! SQL/corpo diferente no ZIP — NÃO reescreva o arquivo principal"]
+    assert (snippet["n"]["present"], snippet["n"]["attention"], snippet["n"]["place"]) == ("", "", "id_key,a,z,JOIN")
+
+    none = [views.macro_views(items.limit(0), every.limit(0), base.limit(0)), (views.lineage_details(items.limit(0), every.limit(0)), views.checklist(items.limit(0), order.limit(0)), report.roadmap_steps(items.limit(0), order.limit(0)))]
+    assert [df.count() for group in none for df in group] == [0] * 6
