@@ -4,7 +4,8 @@ Documents become a narrow log (digest, identifier, content locator); a streaming
 digest keeps, on disk (RocksDB state store) and without expiry, how often a digest came and the
 identifier and locator of the document that stays. Equal digests are only candidates: on hits the
 full texts are compared, and a digest that stands for several texts is decided by text. The state folder
-may be given and used again: later documents then meet the earlier ones.
+may be given and used again: later documents then meet the earlier ones, whose kept texts are read through
+their locators.
 
 A digest with a third of all rows is reduced map-side before each shuffle; joins are on narrow rows.
 """
@@ -73,9 +74,14 @@ def stream_state(spark: SparkSession, log_path: str, schema: T.StructType, state
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    kept = T.StructType().add("digest", T.BinaryType()).add("n", T.LongType()).add("keeper", T.StructType().add("doc_id", schema["doc_id"].dataType).add("file", T.StringType()).add("row", T.LongType()))
+    return last_state(spark, state_dir, schema["doc_id"].dataType)
+
+
+def last_state(spark: SparkSession, state_dir: str, id_type: T.DataType) -> DataFrame:
+    """(digest, n, keeper) as the state left them; empty before its first batch."""
+    kept = T.StructType().add("digest", T.BinaryType()).add("n", T.LongType()).add("keeper", T.StructType().add("doc_id", id_type).add("file", T.StringType()).add("row", T.LongType()))
     try:
-        updates = spark.read.schema(kept.add("batch", T.LongType())).parquet(out)
+        updates = spark.read.schema(kept.add("batch", T.LongType())).parquet(f"{state_dir}/updates")
     except AnalysisException as e:  # an empty log has no batch
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -83,7 +89,7 @@ def stream_state(spark: SparkSession, log_path: str, schema: T.StructType, state
     return updates.groupBy("digest").agg(F.max(F.struct("n", "keeper")).alias("s")).select("digest", "s.n", "s.keeper")
 
 
-def decide(rows: DataFrame, *, digest: Callable[[bytes], bytes] = sha256, state_dir: str | None = None) -> DataFrame:
+def decide(rows: DataFrame, *, digest: Callable[[bytes], bytes] = sha256, state_dir: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """One row per row of rows (doc_id, text, file, row): doc_id, keep_id, group_size, kept, digest (binary), file, row.
 
     file and row are the content locator, one pair per row. Texts are equal when their normalised bytes
@@ -91,30 +97,52 @@ def decide(rows: DataFrame, *, digest: Callable[[bytes], bytes] = sha256, state_
     rows with the same doc_id the one whose locator is last is kept, so each group keeps exactly one row. Null
     and empty texts form one group. keep_id is null where all ids of a group are. An empty table gives an
     empty result.
+
+    With state_dir, counts and kept rows go on from the calls that used it before; decisions that those returned stay as
+    they were. earlier holds the rows of those calls: where a digest comes again, the row that the state kept is looked up
+    there by its locator and its text compared. Without earlier, an equal digest of an earlier call is trusted.
     """
     spark = rows.sparkSession
-    path = new_path(spark, "dedup-log")
+    before = None
+    if state_dir:
+        # The stream reads one folder of logs, to which each call adds.
+        path = f"{state_dir}/log"
+        before = written(last_state(spark, state_dir, rows.schema["doc_id"].dataType), "dedup-before") if earlier is not None else None
+    else:
+        path = new_path(spark, "dedup-log")
     log = with_digest(rows.select("doc_id", "text", "file", "row"), "text", "digest", digest)
-    log.write.parquet(path)
     schema = log.schema
-    log = spark.read.schema(schema).parquet(path)
+    log = written(log, "dedup-log") if state_dir else log
+    log.write.mode("append" if state_dir else "errorifexists").parquet(path)
+    log = log if state_dir else spark.read.schema(schema).parquet(path)
     verdicts = written(stream_state(spark, path, schema, state_dir), "dedup-verdicts")
 
     # Hits: the same digest came more than once. All their bytes are compared by grouping on the text itself.
-    def full_texts(digests: DataFrame) -> DataFrame:
+    def full_texts(source: DataFrame, digests: DataFrame) -> DataFrame:
         digests = F.broadcast(digests) if digests.count() <= BROADCAST_DIGESTS else digests
-        seen = with_digest(rows.select("doc_id", "text", "file", "row", F.col("text").alias("t")), "text", "digest", digest)
+        seen = with_digest(source.select("doc_id", "text", "file", "row", F.col("text").alias("t")), "text", "digest", digest)
         return seen.join(digests, "digest", "left_semi").withColumn("t", fold_ascii(F.col("t")))
 
-    by_text = full_texts(verdicts.where("n > 1").select("digest")).groupBy("digest", "t").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keeper"))
-    mixed = written(by_text.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-mixed")
+    def texts(found: DataFrame) -> DataFrame:
+        return found.groupBy("digest", "t").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keeper"))
+
+    hits = verdicts.where("n > 1").select("digest")
+    compared = full_texts(rows, hits)
+    if before is not None:
+        stood = earlier.join(before.select("keeper.file", "keeper.row"), ["file", "row"], "left_semi")
+        compared = compared.unionByName(full_texts(stood, hits.join(log.select("digest"), "digest", "left_semi")))
+    mixed = written(texts(compared).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "dedup-mixed")
+    if state_dir:  # a digest that stood for several texts is never trusted again
+        mixed.write.mode("append").parquet(f"{state_dir}/mixed")
+        mixed = written(spark.read.schema(mixed.schema).parquet(f"{state_dir}/mixed").distinct(), "dedup-mixed")
     kept = (F.col("file") == F.col("keeper.file")) & (F.col("row") == F.col("keeper.row"))
     columns = ["doc_id", F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "digest", "file", "row"]
     out = log.join(verdicts, "digest")
     if mixed.isEmpty():
         return out.select(*columns)
-    # Several texts under one digest: those rows are decided by text.
-    again = full_texts(mixed).join(by_text.join(mixed, "digest", "left_semi"), ["digest", "t"])
+    # Several texts under one digest: those rows are decided by text, among all rows.
+    every = rows if earlier is None else rows.select("doc_id", "text", "file", "row").unionByName(earlier.select("doc_id", "text", "file", "row"))
+    again = full_texts(rows, mixed).join(texts(full_texts(every, mixed)), ["digest", "t"])
     return out.join(mixed, "digest", "left_anti").select(*columns).unionByName(again.select(*columns))
 
 

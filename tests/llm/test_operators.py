@@ -74,6 +74,19 @@ def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     assert {bytes(r["digest"]): (r["n"], r["keeper"]["doc_id"]) for r in got.collect()} == {b"k": (2, 9), b"l": (1, 2)}
 
 
+def test_exact_dedup_compares_with_texts_of_earlier_calls(spark, tmp_path):
+    """The second call meets a digest of the first whose text is another, one whose text is the same, and one that the first call had seen twice."""
+    rows = lambda *r: spark.createDataFrame(r, "doc_id long, text string, file string, row long")
+    digest = lambda data: data[:1]
+    first = rows((1, "Aa", "f", 0), (2, "b", "f", 1), (3, "c1", "f", 2), (4, "c2", "f", 3))
+    second = rows((5, "ab", "g", 0), (6, "B", "g", 1), (7, "C1", "g", 2), (8, "d", "g", 3))
+    of = lambda df: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+    state = "file://" + str(tmp_path / "state")
+    assert of(exact_dedup.decide(first, digest=digest, state_dir=state)) == [(1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True), (4, 4, 1, True)]
+    got = of(exact_dedup.decide(second, digest=digest, state_dir=state, earlier=first))
+    assert got == [(5, 5, 1, True), (6, 6, 2, True), (7, 7, 2, True), (8, 8, 1, True)]
+
+
 def slow_fingerprint(text):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -210,6 +223,28 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.with_score(odd, toxicity.train([], [])).collect()} == {toxicity.train([], []).probability([0.0])}
 
 
+def test_subsequence_kernel_against_plain_loops():
+    """Feature maps, norms and scores of words, letter by letter."""
+    def features(word):
+        code = [0, *(int(toxicity._CLASS[ord(c)]) for c in word), 0]
+        out, norm = Counter(), 0.0
+        for i in range(len(code)):
+            for j in range(i + 1, len(code)):
+                for k in range(j + 1, min(len(code), i + toxicity.SPAN)):
+                    w = toxicity.DECAY ** (k - i - 2)
+                    out[(code[i] * toxicity.CLASSES + code[j]) * toxicity.CLASSES + code[k]] += w
+                    norm += w * w
+        return {f: w / max(norm, 1e-12) ** 0.5 for f, w in out.items()}
+
+    words = ["", "a", "ab", "quarg", "qxuarg", "zwackel7", "éßa", "aaaaaaaa"]
+    weights = np.random.default_rng(8).normal(size=toxicity.CLASSES**3)
+    maps = [features(w) for w in words]
+    assert toxicity.Triples(words).dot(weights) == pytest.approx([sum(v * weights[f] for f, v in m.items()) for m in maps])
+    kernel = [[sum(v * other.get(f, 0) for f, v in m.items()) for other in maps] for m in maps]
+    assert toxicity.to_landmarks(words, toxicity.Triples(words).features(), 3) == pytest.approx(np.array(kernel), abs=1e-5)
+    assert kernel[3][4] > 0.5 > kernel[3][5]  # an inserted letter leaves a word close to itself
+
+
 def test_toxicity_collects_within_its_budget(spark, monkeypatch):
     rows = [(0, f"{i:02} " + "ba do ke li " * 4) for i in range(30)] + [(1, "long " * 1000)] + [(i, f"mu ra so te {i:02}") for i in range(3, 30)] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -232,6 +267,18 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(spark.createDataFrame([(1, "http://a.b/c", "r")], "page_id long, url string, rule string"), rules).first()["verdict"] == "allow"
 
 
+def test_odd_rows_of_native_operators(spark):
+    """Repeated rows, null ids, clashing columns in other case, and empty tables."""
+    pages = spark.createDataFrame([(1, "http://a.org/x", "s"), (1, "http://a.org/x", "s"), (None, "http://x.com/de/", None), (2, "", "s")], "page_id long, url string, Verdict string")
+    got = url_filter.judge_urls(pages, url_filter.rule_table(spark))
+    assert Counter((r["page_id"], r["rule"], r["verdict"]) for r in got.collect()) == Counter({(1, "org/", "allow"): 2, (None, "com/de/", "block"): 1, (2, None, "allow"): 1})
+    assert url_filter.judge_urls(pages.limit(0), url_filter.rule_table(spark)).collect() == []
+    docs = spark.createDataFrame([(None, "w w", None, "k", 1), (None, "w w", None, "k", 1), (3, None, "a", None, None)], "doc_id long, text string, source string, arc string, draw int")
+    shards = sharding.shard(docs, shards=2).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in shards) == [("3", 1), ("None", 4), ("None", 4)] and sorted(Counter(r["shard"] for r in shards).values()) == [1, 2]
+    assert sorted((r["size"], r["source_size"]) for r in mixing.mix(docs).collect() if r["doc_id"] is None) == [(2, 4)] * 2
+
+
 def slow_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
