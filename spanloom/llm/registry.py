@@ -22,6 +22,9 @@ MODULES = [
     ("op8_mixing", "mixing"),
     ("op9_sharding", "sharding"),
     ("op10_byte_bpe", "byte_bpe"),
+    ("op11_periodic_runs", "periodic_runs"),
+    ("op12_piece_bpe", "piece_bpe"),
+    ("op13_conversation_trie", "conversation_trie"),
 ]
 
 
