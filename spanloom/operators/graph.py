@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..plans.tables import numbered, written
+from . import reach
 
 
 def edges(models: DataFrame) -> DataFrame:
@@ -137,12 +138,18 @@ def cycle_report(models: DataFrame) -> DataFrame:
 
 
 def item_impact(items: DataFrame, models: DataFrame) -> DataFrame:
-    """(name, n_impact, impact_text) of each item: what depends on it, or on the base model that it stands for; the text has the first ten by name."""
+    """(name, n_impact, impact_text) of each item: what depends on it, or on the base model that it stands for; the text has the first ten by name.
+
+    An item that stands for another reaches what a node with the dependents of both would reach.
+    """
     own = items.select("name", F.explode(F.array_compact(F.array("name", "match_name"))).alias("root")).distinct()
-    reach = downstream(models, own.select("root").distinct())
-    deps = own.join(reach, "root").select("name", "node").distinct()
-    counts = deps.groupBy("name").agg(F.count("*").alias("n_impact"))
-    first = deps.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("node"))).where("k <= 10").groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("node")), ", ").alias("first"))
+    pairs = written(edges(models).select(F.col("ref").alias("src"), F.col("dependent").alias("dst")).distinct(), "pairs")
+    item = F.concat(F.lit("item\0"), F.col("name"))
+    pairs = written(pairs.unionByName(own.join(pairs, F.col("root") == F.col("src")).select(item.alias("src"), "dst").distinct()), "pairs")
+    roots = items.select(item.alias("root")).distinct()
+    name = F.substring_index("root", "\0", -1).alias("name")
+    counts, first = reach.counts_and_first(pairs, roots)
+    counts, first = counts.select(name, F.col("n").alias("n_impact")), first.select(name, F.array_join("names", ", ").alias("first"))
     text = F.when(F.col("first").isNull(), "Ninguém depende deste arquivo").otherwise(F.concat(F.lit("Afeta depois: "), F.col("first")))
     return items.select("name").join(counts, "name", "left").join(first, "name", "left").select("name", F.coalesce("n_impact", F.lit(0)).alias("n_impact"), text.alias("impact_text"))
 
@@ -203,13 +210,14 @@ def topo_order(items: DataFrame, models: DataFrame) -> DataFrame:
     return numbered(done, ["blocked", "place"], "ord", "order").select(F.col("ord").cast("int").alias("ord"), "name", "blocked")
 
 
-def impact(models: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+def impact(models: DataFrame) -> DataFrame:
     """(name, n_downstream, n_direct, first): how many nodes each model affects, and the first ten by name."""
-    reach = downstream(models, models.select(F.col("name").alias("root"))) if reach is None else reach
-    counts = reach.groupBy("root").agg(F.count("*").alias("n_downstream"), F.count_if(F.col("dist") == 1).alias("n_direct"))
-    ranked = reach.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where("k <= 10")
-    first = ranked.groupBy("root").agg(F.array_join(F.array_sort(F.collect_list("node")), ", ").alias("first"))
-    out = models.select("name").join(counts.join(first, "root").withColumnRenamed("root", "name"), "name", "left")
+    pairs = written(edges(models).select(F.col("ref").alias("src"), F.col("dependent").alias("dst")).distinct(), "pairs")
+    roots = models.select(F.col("name").alias("root"))
+    counts, first = reach.counts_and_first(pairs, roots)
+    counts, first = counts.select(F.col("root").alias("name"), F.col("n").alias("n_downstream")), first.select(F.col("root").alias("name"), F.array_join("names", ", ").alias("first"))
+    direct = pairs.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("n_direct"))
+    out = models.select("name").join(counts, "name", "left").join(direct, "name", "left").join(first, "name", "left")
     return out.select("name", F.coalesce("n_downstream", F.lit(0)).alias("n_downstream"), F.coalesce("n_direct", F.lit(0)).alias("n_direct"), F.coalesce("first", F.lit("")).alias("first"))
 
 
