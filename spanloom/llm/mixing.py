@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, written
+from .common import SPACE, free_name, with_locator, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -77,19 +77,19 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """docs with columns size, source_size, target and copies (how often the mix takes the document, 0 included), replacing columns of these names.
 
     size: a column that has the sizes already. The draw of a document comes from its id and `seed` alone,
-    so reruns agree. Ties in the order go by id, then by size; rows alike in both are one unit, taken together
-    or not at all. Null or empty text has size 0. Null source is a source of its own, last in order; null ids
-    draw as the text 'null'. A unit is taken if the running total before it plus half of it does not exceed
-    what its source lacks, so that each source lands within half a unit of its target. An empty table gives
+    so reruns agree. Ties in the order go by id, then by size. Null or empty text has size 0. Null source is a source of its own, last in
+    order; null ids draw as the text 'null'. Documents are taken in the order while they fit into what their source lacks. Of rows alike
+    in id and size, which share a draw, so many are taken as fit, those that come first in their files. What is lacking then is filled by one
+    document more, the one whose size is nearest to it, if that comes nearer than none. An empty table gives
     an empty result.
     """
     spark = docs.sparkSession
-    kept = docs.withColumn("size", words(F.col(text)) if size is None else F.col(size)).drop("source_size", "target", "copies")
+    located, file, row = with_locator(docs)
+    kept = located.withColumn("size", words(F.col(text)) if size is None else F.col(size)).drop("source_size", "target", "copies")
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     # 52 bits of a digest: the same number in any engine that has md5.
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 13), 16, 10).cast("long")
-    narrow = kept.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), "size", draw.alias("draw"))
-    narrow = narrow if size else written(narrow, "mix")
+    narrow = written(kept.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), "size", draw.alias("draw"), F.col(file).alias("file"), F.col(row).alias("row")), "mix")
     same = F.col("source").eqNullSafe(F.col("s"))
 
     # A row per source and weight, of which there are at most 64.
@@ -115,19 +115,46 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     # Only the bin in which the total is reached is looked at by document.
     units = ranked.join(sent(edge), same).where(bin_of(F.col("place")) == F.col("bin"))
-    units = units.groupBy("source", "place", "id", "size", "lacking", "before").agg((F.count("*") * F.col("size")).alias("unit"))
+    units = units.groupBy("source", "place", "id", "size", "lacking", "before").agg(F.count("*").alias("n"))
     ordered = Window.partitionBy("source").orderBy("place", F.col("id").asc_nulls_first(), "size")
-    units = units.withColumn("start", F.col("before") + F.sum("unit").over(ordered) - F.col("unit")).where("start + unit / 2 <= lacking")
-    last = units.groupBy("source").agg(F.max(F.struct("place", "id", "size")).alias("last")).select(F.col("source").alias("s"), "last")
-    plan = plan.join(edge.select("s", "bin"), same, "left").drop("s").join(last, same, "left").drop("s")
-    plan = written(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "certain", "scale", "bin", "last"), "mix-plan")
-    plan = sent(plan.select(F.struct(*plan.columns).alias(plan_name := free_name(kept, "mix_plan"))))
+    unit = F.col("n") * F.col("size")
+    units = units.withColumn("start", F.col("before") + F.sum(unit).over(ordered) - unit)
+    fits, key_of = F.col("start") + unit <= F.col("lacking"), F.struct("place", "id", "size")
+    share = F.floor(F.try_divide(F.col("lacking") - F.col("start"), F.col("size"))).cast("long")
+    cut = units.groupBy("source").agg(F.max(F.when(fits, key_of)).alias("last"), F.max(F.when(fits, F.col("start") + unit)).alias("full"), F.min(F.when(~fits, F.struct("place", "id", "size", share.alias("share")))).alias("part"))
+    gap = F.col("lacking") - F.coalesce("full", "before") - F.coalesce(F.col("part.share") * F.col("part.size"), F.lit(0))
+    plan = plan.join(edge.select("s", "bin", "before"), same, "left").drop("s").join(cut.withColumnRenamed("source", "s"), same, "left").drop("s").withColumn("gap", gap)
+    plan = written(plan, "mix-plan")
+    # The one document that fills the gap best, of those not taken in the order.
+    open_ = ranked.drop("lacking", "scale").join(sent(plan.where("gap > 0").select(F.col("source").alias("s"), "bin", "last", "part", "gap")), same).drop("s")
+    before_cut = (bin_of(F.col("place")) < F.col("bin")) | ((bin_of(F.col("place")) == F.col("bin")) & F.coalesce(key_of <= F.col("last"), F.lit(False)))
+    nearer = F.abs(F.col("gap") - F.col("size"))
+    fill = open_.where(~before_cut & (nearer < F.col("gap"))).groupBy("source").agg(F.min(F.struct(nearer.alias("nearer"), "place", "id", "size")).alias("fill")).select(F.col("source").alias("s"), "fill")
+    plan = written(plan.join(fill, same, "left").drop("s"), "mix-plan")
+    # Rows of the units that are taken in part, numbered by their place in the files; stretches of 65,536 rows are numbered by themselves.
+    alike = lambda u: F.col(f"{u}.id").eqNullSafe(F.col("id")) & F.col(f"{u}.size").eqNullSafe(F.col("size")) & F.col(u).isNotNull()
+    quota = F.when(alike("part"), F.col("part.share")).otherwise(0) + F.when(alike("fill"), 1).otherwise(0)
+    partly = narrow.join(sent(plan.where("part is not null or fill is not null").select(F.col("source").alias("s"), "part", "fill")), same).where(alike("part") | alike("fill"))
+    partly = written(partly.select("source", "id", "size", "file", "row", F.shiftright("row", 16).alias("stretch"), quota.alias("quota")).where("quota > 0"), "mix-part")
+    unit_key = ["source", "id", "size"]
+    held = partly.groupBy(*unit_key, "file", "stretch").agg(F.count("*").alias("n"))
+    held = held.withColumn("ahead", F.sum("n").over(Window.partitionBy(*unit_key).orderBy("file", "stretch")) - F.col("n")).select(*[F.col(c).alias(f"h_{c}") for c in [*unit_key, "file", "stretch"]], "ahead")
+    match = F.lit(True)
+    for c in [*unit_key, "file", "stretch"]:
+        match = match & F.col(c).eqNullSafe(F.col(f"h_{c}"))
+    within = F.row_number().over(Window.partitionBy(*unit_key, "file", "stretch").orderBy("row"))
+    taken_rows = partly.withColumn("k", within).join(held, match).where(F.col("ahead") + F.col("k") <= F.col("quota")).select(F.col("file").alias(file), F.col("row").alias(row))
+    taken_rows = written(taken_rows, "mix-taken")
+    taken_rows = F.broadcast(taken_rows) if taken_rows.count() <= 100_000 else taken_rows
+    mark = free_name(kept, "mix_partly")
+    plan = sent(plan.select(F.struct(F.col("source").alias("plan_source"), "source_size", "target", "certain", "scale", "bin", "last").alias(plan_name := free_name(kept, "mix_plan"))))
     of = lambda c: F.col(f"{plan_name}.{c}")
-    out = kept.join(plan, F.col(source).eqNullSafe(of("plan_source")), "left")
+    out = kept.join(plan, F.col(source).eqNullSafe(of("plan_source")), "left").join(taken_rows.withColumn(mark, F.lit(1)), [file, row], "left")
     own_place = place(of("scale"), F.col("size"), draw)
     own = F.struct(own_place.alias("place"), F.col(doc_id).alias("id"), F.col("size").alias("size"))
-    taken = F.when(of("bin").isNull() | (bin_of(own_place) > of("bin")), 0).when(bin_of(own_place) < of("bin"), 1).when(own <= of("last"), 1).otherwise(0)
-    return out.select(*kept.columns, of("source_size").alias("source_size"), of("target").alias("target"), (of("certain") + taken).alias("copies"))
+    whole = F.when(of("bin").isNull() | (bin_of(own_place) > of("bin")), 0).when(bin_of(own_place) < of("bin"), 1).when(own <= of("last"), 1).otherwise(0)
+    shown = [c for c in kept.columns if c not in (file, row)]
+    return out.select(*shown, of("source_size").alias("source_size"), of("target").alias("target"), (of("certain") + F.greatest(whole, F.coalesce(F.col(mark), F.lit(0)))).alias("copies"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +187,18 @@ v as (select d.*, q.* exclude (source), (draw + 0.5::double) / 4503599627370496.
       from d join q on d.source is not distinct from q.source join c on d.source is not distinct from c.source),
 x as (select *, u * (1.0::double - p) / (u * (1.0::double - p) + (1.0::double - u) * p) as place from v),
 u as (select *, sum(size) over (partition by source order by place, doc_id nulls first, size) as upto,
-             sum(size) over (partition by source, place, doc_id, size) as unit
-      from x)
-select doc_id, size, source_size, target, (size * (certain + case when lacking > 0 and upto - unit + unit / 2.0::double <= lacking then 1 else 0 end))::bigint as taken from u
+             sum(size) over (partition by source, place, doc_id, size) as unit,
+             row_number() over (partition by source, place, doc_id, size) as rn
+      from x),
+a as (select *, lacking > 0 and upto <= lacking as whole from u),
+m as (select source, coalesce(max(upto) filter (where whole), 0) as done from a group by source),
+e as (select a.*, case when not whole and lacking > 0 and upto - unit = done then floor((lacking - done) / size) end::bigint as share, done
+      from a join m on a.source is not distinct from m.source),
+z as (select *, lacking - done - coalesce(max(share * size) over (partition by source), 0) as gap from e),
+y as (select *, case when not whole and gap > 0 and abs(gap - size) < gap then row_number() over (partition by source order by not whole and gap > 0 and abs(gap - size) < gap desc, abs(gap - size), place, doc_id nulls first, size) end as best from z),
+b as (select source, doc_id as fill_id, size as fill_size from y where best = 1)
+select y.doc_id, y.size, source_size, target,
+       (y.size * (certain + case when whole then 1
+         when rn <= coalesce(share, 0) + case when b.fill_size = y.size and b.fill_id is not distinct from y.doc_id then 1 else 0 end then 1 else 0 end))::bigint as taken
+from y left join b on y.source is not distinct from b.source
 """

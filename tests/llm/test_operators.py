@@ -311,7 +311,8 @@ def test_mixing_pareto_order(spark):
     """Inclusion probabilities and the order of the sample against plain loops."""
     rng = np.random.default_rng(16)
     rows = [(i, "w " * int(rng.choice([0, 1, 3, 20, 21, 90, 400], p=[0.05, 0.15, 0.2, 0.2, 0.2, 0.15, 0.05])), "abc"[i % 3] if i % 2 else "a") for i in range(1200)]
-    rows += [(7, rows[7][1], rows[7][2])] * 3  # one unit with the first
+    rows += [(7, rows[7][1], rows[7][2])] * 3  # alike with the first
+    rows += [(5_000, "w w w w w w w", "c")] * 700 + [(None, "w w", "b")] * 90
     got = mixing.mix(spark.createDataFrame(rows, DOCS), bins=16).collect()
     for source in "abc":
         own = [r for r in got if r["source"] == source]
@@ -329,14 +330,32 @@ def test_mixing_pareto_order(spark):
             draw = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[:13], 16)
             u, p = (draw + 0.5) / 2**52, min(1, scale * weigh(r["size"]))
             units[(u / (1 - u)) / (p / (1 - p)) if p < 1 else 0.0, r["doc_id"], r["size"]] += r["size"]
-        start, taken = 0, set()
-        for (_, doc, size), words in sorted(units.items()):
-            taken |= {(doc, size)} if start + words / 2 <= lacking else set()
-            start += words
-        assert {(r["doc_id"], r["size"]) for r in own if r["copies"] > certain} == taken and 0 < len(taken) < len(units)
+        start, taken, left = 0, Counter(), Counter()
+        for (place, doc, size), words in sorted(units.items(), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1] or 0, x[0][2])):
+            n = words // size if size else sum((r["doc_id"], r["size"]) == (doc, size) for r in own)
+            fit = 0 if left else n if start + words <= lacking else int((lacking - start) // size)
+            taken[doc, size] = fit
+            start += fit * size
+            if fit < n:
+                left[place, doc, size] = n - fit
+        gap = lacking - start
+        best = min(((abs(gap - size), place, doc is not None, doc or 0, size) for place, doc, size in left if abs(gap - size) < gap), default=None)
+        if best:
+            taken[best[3] if best[2] else None, best[4]] += 1
+        assert Counter((r["doc_id"], r["size"]) for r in own if r["copies"] > certain) == +taken and 0 < sum(taken.values()) < len(own)
         assert all(r["copies"] in (certain, certain + 1) for r in own)
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Half of each source is one row, repeated: so many of it are taken as are needed, also where its draw comes first or last."""
+    rows = [(i, "w " * (10 + i % 7), "ab"[i % 2]) for i in range(600)] + [(1_000, "w " * 50, "a")] * 300 + [(1_001, "w " * 50, "b")] * 300
+    for seed in ("x", "y", "z"):
+        got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(4), seed=seed).collect()
+        for source in "ab":
+            own = [r for r in got if r["source"] == source]
+            assert len(own) == 600 and abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 8
+
+
 def test_sharding(spark, odd):
     counts = {int(a): int(n) for a, n in zip(*np.unique(np.random.default_rng(7).integers(0, 1024, 5003), return_counts=True), strict=True)}
     where = {}
