@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..plans.tables import numbered, written
 from . import reach
+from .parts import PART_ROWS, by_part, components, sized
 
 
 def edges(models: DataFrame) -> DataFrame:
@@ -94,17 +98,13 @@ def levels(models: DataFrame) -> DataFrame:
         level += 1
 
 
-def find_cycles(models: DataFrame) -> DataFrame:
-    """(path, nodes): one cycle for each back edge of a depth-first walk in the order of names, each set of nodes once.
-
-    The walk is sequential; it sees only what trimming leaves, which is empty in sound projects.
-    """
-    spark = models.sparkSession
+def walk(part: pd.DataFrame) -> pd.DataFrame:
+    """(path, nodes): one cycle for each back edge of a depth-first walk over the edges (dependent, ref), in the order of names; each set of nodes once."""
     refs: dict[str, list[str]] = {}
-    for r in trimmed(models).orderBy("dependent", "ref").collect():
-        refs.setdefault(r["dependent"], []).append(r["ref"])
-    found, done = [], set()
-    for start in sorted(refs):
+    for a, b in sorted(zip(part["dependent"], part["ref"], strict=True)):
+        refs.setdefault(a, []).append(b)
+    found, done = {}, set()
+    for start in refs:  # sorted
         if start in done:
             continue
         way, at, place = [start], [iter(refs[start])], {start: 0}
@@ -115,13 +115,27 @@ def find_cycles(models: DataFrame) -> DataFrame:
                 del place[way.pop()]
                 at.pop()
             elif step in place:
-                found.append([*way[place[step] :], step])
+                cycle = way[place[step] :]
+                found.setdefault(frozenset(cycle), [*cycle, step])
             elif step in refs and step not in done:
                 place[step] = len(way)
                 way.append(step)
                 at.append(iter(refs[step]))
-    once = list({frozenset(c): c for c in reversed(found)}.values())[::-1]
-    return spark.createDataFrame([(" → ".join(c), sorted(set(c))) for c in once], "path string, nodes array<string>")
+    return pd.DataFrame({"path": [" → ".join(c) for c in found.values()], "nodes": [sorted(k) for k in found]})
+
+
+def find_cycles(models: DataFrame) -> DataFrame:
+    """(path, nodes): one cycle for each back edge of a depth-first walk in the order of names, each set of nodes once.
+
+    A walk never leaves the connected part that it starts in, so each part of what trimming leaves (nothing, in sound
+    projects) is walked by itself, in tasks. The parts are not cut to strongly connected ones: where a walk enters a cycle
+    decides how its path reads. A part must fit into a task.
+    """
+    left = trimmed(models)
+    roots = components(left, "dependent", "ref")
+    # A reference to itself alone is a part, too.
+    parted = left.join(roots, left["dependent"] == roots["node"], "left").select("dependent", "ref", F.coalesce("root", "dependent").alias("part"))
+    return by_part(written(parted, "cycles"), walk, "path string, nodes array<string>")
 
 
 # The hint of a cycle, and how many of its edges it names.
@@ -182,17 +196,66 @@ def highest_before(keys: DataFrame, edges: DataFrame) -> DataFrame:
             return top
 
 
-def topo_order(items: DataFrame, models: DataFrame) -> DataFrame:
+def heap_order(part: pd.DataFrame) -> pd.DataFrame:
+    """(name, highest, at, blocked) of the items (name, rank, boost, refs) of a part: always the smallest item that is ready goes next.
+
+    at: its place in the part; highest: the greatest (rank, boost, name) so far. Items on or behind a cycle are blocked.
+    """
+    key_of = {n: (r, b, n) for n, r, b in zip(part["name"], part["rank"].tolist(), part["boost"].tolist(), strict=True)}
+    waits, frees = {}, {}
+    for n, refs in zip(part["name"], part["refs"], strict=True):
+        waits[n] = len(refs)
+        for r in refs:
+            frees.setdefault(r, []).append(n)
+    ready = [key_of[n] for n, k in waits.items() if not k]
+    heapify(ready)
+    rows, highest = [], ()
+    while ready:
+        key = heappop(ready)
+        highest = max(highest, key)
+        rows.append((key[2], {"rank": highest[0], "boost": highest[1], "name": highest[2]}, len(rows), False))
+        for n in frees.get(key[2], ()):
+            waits[n] -= 1
+            if not waits[n]:
+                heappush(ready, key_of[n])
+    rows += [(n, {"rank": key_of[n][0], "boost": key_of[n][1], "name": n}, 0, True) for n, k in waits.items() if k]
+    return pd.DataFrame(rows, columns=["name", "highest", "at", "blocked"])
+
+
+def topo_order(items: DataFrame, models: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(ord, name, blocked): pending items so that references come first and, among what is ready, the smallest (layer rank, kind, name); what is on or behind a cycle comes last, by the same key, as blocked.
 
-    Always taking the smallest ready item gives the order of each item's greatest key among itself and all before it: an
-    item waits for the one with that key, and is then smaller than all else that waits. Items of the same greatest key are
-    the one that has it, then the others in the order that the same rule gives among them alone. So an item's place is
-    a list of keys, found in as many turns as references go from a later to an earlier key one after another on a way.
+    Connected parts of the pending items are ordered by themselves, each with a heap. Always taking the smallest of the parts'
+    next items merges them by the greatest key that each part has had so far. Parts of more than part_rows
+    items and references go by rounds.
     """
     pending = written(order_key(items).select("name", F.struct("rank", "boost", "name").alias("key")), "order")
     names = lambda c: pending.select(F.col("name").alias(c))
-    inner = written(edges(models).join(names("dependent"), "dependent", "left_semi").join(names("ref"), "ref", "left_semi").select("dependent", "ref"), "order")
+    inner = written(edges(models).join(names("dependent"), "dependent", "left_semi").join(names("ref"), "ref", "left_semi").select("dependent", "ref").distinct(), "order")
+    roots = components(inner, "dependent", "ref").withColumnRenamed("node", "name")
+    refs = inner.groupBy(F.col("dependent").alias("name")).agg(F.collect_list("ref").alias("refs"))
+    nodes_ = pending.join(roots, "name", "left").join(refs, "name", "left").select("name", "key", F.coalesce("root", "name").alias("part"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
+    small, large = sized(written(nodes_, "order"), part_rows)
+    kind = pending.schema["key"].dataType.simpleString()
+    placed = by_part(small.select("name", "key.rank", "key.boost", "refs", "part"), heap_order, f"name string, highest {kind}, at int, blocked boolean")
+    # Within a part the place decides, written as a key.
+    place = F.struct(F.col("at").alias("rank"), F.lit(0).alias("boost"), F.lit("").alias("name")).cast(kind)
+    placed = placed.select("name", F.array("highest", place).alias("place"), "blocked")
+    own = written(large.select("name", "key"), "order")
+    if not own.isEmpty():
+        within = inner.join(own.select(F.col("name").alias("dependent")), "dependent", "left_semi")
+        placed = placed.unionByName(places_by_rounds(own, written(within, "order")))
+    return numbered(placed, ["blocked", "place"], "ord", "order").select(F.col("ord").cast("int").alias("ord"), "name", "blocked")
+
+
+def places_by_rounds(pending: DataFrame, inner: DataFrame) -> DataFrame:
+    """(name, place, blocked) of the items (name, key) and the references among them: in the order of places, always the smallest item that is ready comes next.
+
+    That is the order of each item's greatest key among itself and all before it: an item waits for the one with that key, and is then
+    smaller than all else that waits. Items of the same greatest key are the one that has it, then the others in the order
+    that the same rule gives among them alone. So an item's place is a list of keys, found in as many turns as
+    references go from a later to an earlier key one after another on a way.
+    """
     blocked = written(behind_cycles(inner), "order")
     left = pending.join(blocked, "name", "left_anti").withColumn("place", F.array().cast(f"array<{pending.schema['key'].dataType.simpleString()}>"))
     open_edges = inner.join(blocked, inner["dependent"] == blocked["name"], "left_anti")
@@ -203,11 +266,10 @@ def topo_order(items: DataFrame, models: DataFrame) -> DataFrame:
         done = done.unionByName(placed.where("first").select("name", "place", F.lit(False).alias("blocked")))
         left = placed.where("not first").drop("first")
         if left.isEmpty():
-            break
+            return done
         # Only references within the rest of a group still count.
         at = lambda c: left.select(F.col("name").alias(c), F.col("place").alias(f"{c}_place"))
         open_edges = written(open_edges.join(at("dependent"), "dependent").join(at("ref"), "ref").where("dependent_place = ref_place").select("dependent", "ref"), "order")
-    return numbered(done, ["blocked", "place"], "ord", "order").select(F.col("ord").cast("int").alias("ord"), "name", "blocked")
 
 
 def impact(models: DataFrame) -> DataFrame:
