@@ -1,4 +1,4 @@
-"""What the operators of this package share: the shared folder, written intermediates, components."""
+"""What the operators of this package share: the shared folder, written intermediates."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.parts import components
 from ..plans.tables import shared_dir, written
 
+__all__ = ["components", "fold_ascii", "free_name", "new_path", "with_locator", "written"]
+
 #: Letters that contracts fold; every other character stays as it is.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -44,27 +47,3 @@ def with_locator(df: DataFrame) -> tuple[DataFrame, str, str]:
     except AnalysisException:  # no file behind it, or more than one
         out = written(df, "rows").select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     return out, file, row
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of the undirected edges (a, b): rows (node, root), root the smallest node of its component, for every node that has an edge to another.
-
-    Alternating large-star and small-star steps: each node's edges move to the smallest neighbour
-    known, so O(log n) rounds suffice. Each round is two aggregations with map-side minima and two
-    equi-joins on narrow rows, written to the shared folder; adaptive execution splits hubs.
-    """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    now = written(now, "edges")
-    before = None
-    while True:
-        count = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if count == before or not count[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = count
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = written(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), "m"), F.struct(F.col("v").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.m").alias("v"))
-        now = written(small.where("u > v").distinct(), "edges")
