@@ -58,14 +58,19 @@ def held(key: object, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    gc.collect()
+    with suppress(AttributeError, OSError):  # glibc keeps freed memory until asked
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterator, rows: int = 256, *, key: object = None) -> Iterator:
     """The batches in slices of few rows, so that only their texts are Python objects at a time. What the worker holds under another key is dropped first."""
     gc.unfreeze()  # for what an earlier task left
     if _HELD and key not in _HELD:
         _HELD.clear()
-        gc.collect()
-        with suppress(AttributeError, OSError):  # glibc keeps freed memory until asked
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)

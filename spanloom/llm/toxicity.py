@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, written
-from .memo import Memo, held, sliced
+from .memo import Memo, give_back, held, sliced
 
 #: The training sample: so many toxic and clean documents at most, by the order of a hash of their ids, and so many characters of them.
 TOXIC_DOCS, CLEAN_DOCS, TRAINING_CHARS = 1500, 3000, 12_000_000
@@ -42,7 +42,7 @@ CLASSES = 40
 #: Words whose scores a Python worker remembers.
 WORDS_KEPT = 120_000
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-AT_ONCE = 1 << 20
+AT_ONCE, AT_ONCE_WORDS = 1 << 20, 20_000
 _SPELLED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
 _OTHER = re.compile(r"[\W_]+")
 _CLASS = np.array([1 + c - 97 if 97 <= c <= 122 else 27 + (c - 48) % 2 if 48 <= c <= 57 else 29 + c % (CLASSES - 29) for c in range(0x10000)], np.int64)
@@ -133,8 +133,14 @@ def fit_machine(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float =
     v, damp = np.zeros(x.shape[1]), np.diag(ridge * np.r_[np.ones(x.shape[1] - 1), 1e-3])
     for step in range(30):
         on = y * (x @ v) < 1
-        xa = x[on] * share[on, None]
-        new = np.linalg.solve(xa.T @ x[on] + damp, xa.T @ y[on])
+        left, right = damp.copy(), np.zeros(len(v))
+        for i in range(0, len(x), 1000):  # no copy of all rows
+            some = on[i : i + 1000]
+            rows = x[i : i + 1000][some]
+            weighed = rows * share[i : i + 1000][some, None]
+            left += weighed.T @ rows
+            right += weighed.T @ y[i : i + 1000][some]
+        new = np.linalg.solve(left, right)
         if np.abs(new - v).max() < 1e-6:
             break
         v = new if step < 10 else 0.5 * (v + new)
@@ -160,11 +166,16 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     size = np.array([len(b) for b in bags])
     first, flat = np.cumsum(size) - size, np.concatenate(bags)
     clean_words = np.unique(np.concatenate([b for b, t in zip(bags, toxic, strict=True) if not t]))
-    table = Triples(names)
 
     # First guess: words whose ungapped triples and which themselves come in more toxic than clean documents than chance has it.
-    here, feature, _ = next(iter(table))
-    of = np.repeat(np.arange(len(names)), np.diff(np.r_[table.start, len(table.code)]))[here]
+    of, feature = [], []
+    for i in range(0, len(names), AT_ONCE_WORDS):
+        table = Triples(names[i : i + AT_ONCE_WORDS])
+        here, found, _ = next(iter(table))
+        of.append((np.repeat(np.arange(table.n), np.diff(np.r_[table.start, len(table.code)]))[here] + i).astype(np.int32))
+        feature.append(found.astype(np.int32))
+    of, feature = np.concatenate(of), np.concatenate(feature)
+    del table, here, found
     seen = np.zeros((2, CLASSES**3))
     for bag, t in zip(bags, toxic, strict=True):
         lo, hi = np.searchsorted(of, bag), np.searchsorted(of, bag, "right")
@@ -177,8 +188,8 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
 
     # Words that come in many toxic documents and next to no clean ones are guilty whatever stands beside them. Near copies
     # count once: documents with the same three smallest hashes of words.
-    del table, here, feature, of
-    hashes = np.array([[zlib.crc32(f"{turn}{w}".encode()) for turn in "abc"] for w in names])
+    del feature, of
+    hashes = np.fromiter((zlib.crc32(f"{turn}{w}".encode()) for w in names for turn in "abc"), np.int64, 3 * len(names)).reshape(-1, 3)
     key = [(bool(t), *hashes[b].min(axis=0).tolist()) for b, t in zip(bags, toxic, strict=True)]
     single = np.array(sorted({k: d for d, k in enumerate(key)}.values()))
     counts = [np.bincount(np.concatenate([bags[d] for d in single if toxic[d] == c] or [np.zeros(0, np.int64)]), minlength=len(names)) for c in (False, True)]
@@ -205,11 +216,12 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
         # the machine learns to look past it.
         weight, blame = 1.0 + counts[1][guilty], 1.0 + counts[0][rest]
         bent = [disguised(names[w], rng) for w in [*guilty, *np.repeat(strong[:100], 8)]]
-        x = to_landmarks([names[w] for w in guilty] + bent + [names[w] for w in rest], columns) @ root
         share = np.r_[weight / weight.sum() / 3, np.full(len(bent), 1 / len(bent) / 6), np.minimum(blame, 20) / np.minimum(blame, 20).sum() / 2]
-        v = fit_machine(x, np.r_[np.ones(len(guilty) + len(bent)), -np.ones(len(rest))], share)
-        weights, bias = columns @ (root @ v[:-1]), v[-1]
-        score = np.concatenate([Triples(names[i : i + 20_000]).dot(weights) for i in range(0, len(names), 20_000)]) + bias
+        v = fit_machine(to_landmarks([names[w] for w in guilty] + bent + [names[w] for w in rest], columns) @ root, np.r_[np.ones(len(guilty) + len(bent)), -np.ones(len(rest))], share)
+        mix, bias = root @ v[:-1], v[-1]
+        weights = np.concatenate([columns[i : i + 4_000] @ mix for i in range(0, len(columns), 4_000)])  # a product of mixed types copies its matrix
+        del columns
+        score = np.concatenate([Triples(names[i : i + AT_ONCE_WORDS]).dot(weights) for i in range(0, len(names), AT_ONCE_WORDS)]) + bias
     # Platt's fit of a probability, with his smoothed targets, to the scores of the documents' worst words. Toxic documents
     # weigh more where they are few, up to three times.
     aim = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
