@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..functions import vocabulary as V
+from ..plans.tables import numbered
 
 ITEM = "struct<kind: string, name: string, prefix: string, dbt_type: string>"
 FIELDS = ["path", "type", "layer", "domain", "refs", "sources", "joins", "casts", "columns", "content_hash", "hash"]
@@ -140,6 +141,17 @@ def summary(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("total"), *counts, F.coalesce(F.sum("add_count"), F.lit(0)).alias("items_to_add"))
 
 
+def compare_order(items: DataFrame) -> DataFrame:
+    """(item_ord, name, status) in the order in which a comparison comes to its items.
+
+    First what the base has by that name or alias, then what is new or renamed, both by layer rank and name; last
+    what was removed, by name. One number carries the three phases; it is given by ranges, not in one task.
+    """
+    phase = F.when(F.col("status") == "REMOVIDO", 2).when(F.col("status").isin("NOVO", "RENOMEADO"), 1).otherwise(0)
+    rows = items.select("name", "status", phase.alias("phase"), F.when(phase < 2, F.col("layer_order")).otherwise(0).alias("rank"))
+    return numbered(rows, ["phase", "rank", "name"], "item_ord", "compare-order").select("item_ord", "name", "status")
+
+
 def with_labels(items: DataFrame, add_only: bool = True) -> DataFrame:
     """items with label and hint: of the policy action, or of the status where the policy is not additive."""
     key, labels, hints = ("policy_action", V.POLICY_LABEL, V.POLICY_HINT) if add_only else ("status", V.STATUS_LABEL, V.STATUS_HINT)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +16,19 @@ from ..plans.tables import numbered, written
 #: Longs in a row of bits: a row says which of 64 * WORDS roots reach a node.
 WORDS = 8
 BITS = [f"b{k}" for k in range(WORDS)]
+SOME_NEW = " or ".join(f"new_{b} <> 0" for b in BITS)
 
 
 def _or(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.bit_or(b).alias(b) for b in BITS])
 
 
-def counts(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, n): how many nodes each root reaches over the pairs (src, dst); a root on a cycle reaches itself, one without pairs has no row.
+def spread(pairs: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Roots with their numbers (root, number), and for each round the table (node, block, b*, new_*) of what is known after it.
 
     A row of the table (node, block, bits) says which roots of a block of 512 reach a node. Each round passes on, over the
     pairs, the bits that were new in the round before, ors them per node and block (before and after the shuffle), and keeps
-    those not known yet; cycles need no care. At the end each task adds up the bits of its rows by their places.
+    those not known yet; cycles need no care. Bits that are new in round k are those of nodes k steps away.
     """
     pairs = written(pairs.select("src", "dst").where("src is not null and dst is not null").distinct(), "reach-pairs")
     own = numbered(roots.select("root").distinct(), ["root"], "number", "reach-roots")
@@ -35,16 +37,22 @@ def counts(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     word = F.shiftright("number", 6).bitwiseAND(WORDS - 1)
     first = own.join(pairs, F.col("root") == F.col("src")).select(F.col("dst").alias("node"), F.shiftright("number", 9).alias("block"), *[F.when(word == k, bit).otherwise(0).cast("long").alias(b) for k, b in enumerate(BITS)])
     known = written(_or(first, "node", "block").select("*", *[F.col(b).alias(f"new_{b}") for b in BITS]), "reach")
-    some = " or ".join(f"new_{b} <> 0" for b in BITS)
+    rounds = [known]
     while True:
-        new = known.where(some)
+        new = known.where(SOME_NEW)
         if new.isEmpty():
-            break
+            return own, rounds
         passed = new.join(pairs, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "block", *[F.col(f"new_{b}").alias(b) for b in BITS])
         passed = _or(passed, "node", "block").withColumnsRenamed({b: f"got_{b}" for b in BITS})
         zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
         both = known.select("node", "block", *BITS).join(passed, ["node", "block"], "full")
         known = written(both.select("node", "block", *[zero(b).bitwiseOR(zero(f"got_{b}")).alias(b) for b in BITS], *[zero(f"got_{b}").bitwiseAND(F.bitwise_not(zero(b))).alias(f"new_{b}") for b in BITS]), "reach")
+        rounds.append(known)
+
+
+def counts(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, n): how many nodes each root reaches over the pairs (src, dst); a root on a cycle reaches itself, one without pairs has no row. Each task adds up the bits of its rows of the last round by their places."""
+    own, rounds = spread(pairs, roots)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -59,10 +67,59 @@ def counts(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(k * 64 * WORDS + at, pa.int64()), pa.array(n[at], pa.int64())], ["number", "n"])
 
-    sums = known.select("block", *BITS).mapInArrow(added, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    sums = rounds[-1].select("block", *BITS).mapInArrow(added, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
     return own.join(sums, "number").select("root", "n")
 
 
+def by_distance(pairs: DataFrame, roots: DataFrame, most: int = 12, farthest: bool = False) -> DataFrame:
+    """(root, n, names): how many nodes each root reaches over the pairs (src, dst), and the nearest (or farthest) `most` of them, at one distance by name; a root without pairs has no row.
+
+    The new bits of all rounds, dealt by block and sorted by distance and name, go through a task row by row: it counts for each of
+    the 512 roots of a block how many bits have passed, and gives out those up to `most`. So no pair beyond these is ever a row,
+    and a task holds one block's counts and one slice of rows.
+    """
+    own, rounds = spread(pairs, roots)
+    steps = [r.where(SOME_NEW).select("block", F.lit(k).alias("dist"), "node", *[F.col(f"new_{b}").alias(b) for b in BITS]) for k, r in enumerate(rounds)]
+    every = reduce(DataFrame.unionByName, steps)
+    parts = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = every.repartition(parts, "block").sortWithinPartitions("block", F.desc("dist") if farthest else F.asc("dist"), "node")
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(number: np.ndarray, k: np.ndarray, node: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(k, pa.int64()), node], ["number", "k", "node"])
+
+        def totals(block: int, seen: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(seen)
+            return out(block * 64 * WORDS + at, -seen[at], pa.nulls(len(at), pa.string()))
+
+        now, seen = None, np.zeros(64 * WORDS, np.int64)
+        for b in batches:
+            block, node = b.column("block").to_numpy(), b.column("node").cast(pa.string())
+            bits = np.stack([b.column(x).to_numpy() for x in BITS], axis=1).astype("<i8")
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                if start == stop:
+                    continue
+                if block[start] != now:
+                    if now is not None:
+                        yield totals(now, seen)
+                    now, seen = int(block[start]), np.zeros(64 * WORDS, np.int64)
+                for at in range(start, stop, 512):
+                    ones = np.unpackbits(bits[at : min(at + 512, stop)].view(np.uint8), axis=1, bitorder="little")
+                    place = seen + np.cumsum(ones, axis=0, dtype=np.int64)
+                    row, root = np.nonzero((ones == 1) & (place <= most))
+                    if len(row):
+                        yield out(now * 64 * WORDS + root, place[row, root], node.take(pa.array(at + row)))
+                    seen = place[-1]
+        if now is not None:
+            yield totals(now, seen)
+
+    found = rows.mapInArrow(passed, "number long, k long, node string")
+    named = F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("k", "node"))))
+    sums = found.groupBy("number").agg(F.max(-F.col("k")).alias("n"), F.transform(named, lambda x: x["node"]).alias("names"))
+    return own.join(sums, "number").select("root", "n", "names")
+
+
 def first_names(pairs: DataFrame, roots: DataFrame, most: int = 10) -> DataFrame:
     """(root, names): the first `most` nodes, by name, of all that each root reaches over the pairs (src, dst), as a sorted array.
 
@@ -86,3 +143,11 @@ def counts_and_first(pairs: DataFrame, roots: DataFrame, most: int = 10) -> tupl
     with ThreadPoolExecutor(2) as pool:
         n, names = pool.submit(counts, pairs, roots), pool.submit(first_names, pairs, roots, most)
         return n.result(), names.result()
+
+
+def both_by_distance(pairs: DataFrame, roots: DataFrame, most: int = 12) -> tuple[DataFrame, DataFrame]:
+    """by_distance() against the pairs, farthest first, and along them, nearest first, side by side."""
+    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    with ThreadPoolExecutor(2) as pool:
+        up, down = pool.submit(by_distance, back, roots, most, True), pool.submit(by_distance, pairs, roots, most)
+        return up.result(), down.result()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..plans.tables import numbered, written
-from . import graph
+from . import graph, reach
 
 
 def lineage_nodes(items: DataFrame, models: DataFrame) -> DataFrame:
@@ -64,6 +64,43 @@ def lineage_details(items: DataFrame, models: DataFrame) -> DataFrame:
     return rows.select("id", "layer", status.alias("status"), visual("append").alias("visual"), "policy_action", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("domain", F.lit("")).alias("domain"), F.size(columns).cast("long").alias("n_columns"), F.slice(columns, 1, MOST_COLUMNS).alias("columns"), *counts)
 
 
+#: Names of what a node reaches that the lineage lists; the counts are of all.
+MOST_REACHED = 12
+
+
+def lineage_reach(items: DataFrame, models: DataFrame) -> DataFrame:
+    """(id, n_upstream, upstream, n_downstream, downstream, n_base_columns, base_columns, match_name) of each node of the lineage.
+
+    Counts are of all that a node reaches. Lists hold the first MOST_REACHED: upstream from the origin on (farthest
+    first), downstream nearest first, at one distance by name. Names that no model has reach nothing; a node on a cycle reaches
+    itself. Columns of the base and the model that an item stands for are null-free: none are an empty list and an empty name.
+    """
+    e = written(graph.edges(models).select("dependent", "ref").distinct(), "lineage-edges")
+    ids = written(lineage_nodes(items, models).select(F.col("id").alias("root")).distinct(), "lineage-ids")
+    known = written(ids.join(graph.nodes(models).select(F.col("id").alias("root")), "root", "left_semi"), "lineage-ids")
+    up, down = reach.both_by_distance(e.select(F.col("ref").alias("src"), F.col("dependent").alias("dst")), known, MOST_REACHED)
+    none = F.array().cast("array<string>")
+    of_items = items.select(F.col("name").alias("root"), F.coalesce("b_columns", none).alias("columns"), "match_name")
+    rows = ids.join(up.select("root", F.col("n").alias("n_upstream"), F.col("names").alias("upstream")), "root", "left")
+    rows = rows.join(down.select("root", F.col("n").alias("n_downstream"), F.col("names").alias("downstream")), "root", "left").join(of_items, "root", "left")
+    counts = [x for c in ("upstream", "downstream") for x in (F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}"), F.coalesce(c, none).alias(c))]
+    columns = F.coalesce("columns", none)
+    return rows.select(F.col("root").alias("id"), *counts, F.size(columns).cast("long").alias("n_base_columns"), F.slice(columns, 1, MOST_COLUMNS).alias("base_columns"), F.coalesce("match_name", F.lit("")).alias("match_name"))
+
+
+def edge_order(items: DataFrame, models: DataFrame) -> DataFrame:
+    """(edge_ord, source, target): edges of the lineage by layer rank and name of the target, then by their place among its references. Numbered by ranges."""
+    layer = lineage_nodes(items, models).select(F.col("id").alias("target"), P.layer_rank(F.col("layer")).alias("rank"))
+    place = graph.edges(models).select(F.col("ref").alias("source"), F.col("dependent").alias("target"), "ord")
+    rows = lineage_edges(items, models).join(place, ["source", "target"]).join(layer, "target")
+    return numbered(rows, ["rank", "target", "ord"], "edge_ord", "edge-order").select("edge_ord", "source", "target")
+
+
+def node_order(lanes: DataFrame) -> DataFrame:
+    """lanes() with node_ord: nodes by layer rank, lane and name. Numbered by ranges."""
+    return numbered(lanes.withColumn("rank", P.layer_rank(F.col("layer"))), ["rank", "lane", "id"], "node_ord", "node-order").select("node_ord", "id", "layer", "lane")
+
+
 def lineage_edges(items: DataFrame, models: DataFrame) -> DataFrame:
     """(source, target): edges of the graph between nodes of the lineage."""
     nodes = lineage_nodes(items, models).select("id")

@@ -158,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
     open_items = "(select name from i where status in ('NOVO', 'ALTERADO'))"
     members = f", mem as (select root as focus, node as id from r union select root, node from t union select name, name from {open_items})"
     node = f"nd as (select x.id, coalesce(i.layer, case when starts_with(x.id, 'source.') then 'source' end, m.layer, (select {LAYER} from (select x.id as path))) as layer, case coalesce(i.policy_action, '') when 'create' then 'new' when 'append' then 'add' when 'skip' then 'locked' else 'exist' end as visual, case when starts_with(x.id, 'source.') then 'base' when b.name is not null and coalesce(i.status, '') in ('NOVO', 'ALTERADO') then 'both' when i.status = 'NOVO' or (b.name is null and m.name is not null) then 'workspace' when b.name is not null then 'base' else 'context' end as origin, coalesce(i.status, case when starts_with(x.id, 'source.') then 'SOURCE' else 'IGUAL' end) as status, coalesce(i.policy_action, case when starts_with(x.id, 'source.') or b.name is not null then 'exists' else 'create' end) as policy_action, coalesce(i.add_count, 0)::int as add_count from (select distinct id from mem) x left join i on i.name = x.id left join m on m.name = x.id left join b on b.name = x.id)"
+    reached = "rk as (select root, count(*) as n, string_agg(node, ',' order by k) filter (k <= 12) as names from (select root, node, row_number() over (partition by root order by dist, node) as k from d) group by 1), tk as (select root, count(*) as n, string_agg(node, ',' order by k) filter (k <= 12) as names from (select root, node, row_number() over (partition by root order by dist desc, node) as k from u) group by 1)"
     first = f"order by (status = 'NOVO')::int, {RANK('layer')}, name"
     chains = f", sd as (select row_number() over ({first}) - 1 as ord, name from i where status in ('NOVO', 'ALTERADO') and layer in ('source', 'sample', 'staging', 'seed') qualify ord < 12), st as (select ref, min(dependent) as next from e where dependent in (select name from i) group by 1), ch(ord, k, name) as (select ord, 0, name from sd union all select ord, k + 1, next from ch join st on st.ref = ch.name where k < 6)"
     words = chosen("status", {"NOVO": "criar", "ALTERADO": "atualizar", "IGUAL": "ok"})
@@ -170,6 +171,9 @@ def oracle_sql() -> dict[str, str]:
         "session_message": q(*every_warning, select=f"select case when workspace_models = 0 then {said('empty')} when pending = 0 and critical = 0 then {said('done')} when critical > 0 then {said('critical')} when acrescentar > 0 then {said('append')} when policy_blocks > 0 and novo > 0 then {said('create')} when policy_blocks > 0 then {said('nothing')} else '' end as message from su"),
         "snippets": q(ITEMS, select=f"select i.name, policy_action, case policy_action when 'create' then '-- criar: ' else '-- acrescentar em: ' end || w.path || {snippet} as snippet, {place} as place, coalesce(array_to_string(b.columns, ','), '') as present, array_to_string({ignored}, chr(10)) as attention from i join w on w.name = i.name left join b on b.name = i.name where policy_action in ('create', 'append')"),
         "lineage_details": q(ITEMS, EDGES, ", " + lineage, ", " + details, select="select lx.id, layer, status, visual, policy_action, len(cols)::bigint as n_columns, array_to_string(cols[1:24], ',') as columns, coalesce(k1.n, 0) as n_depends_on, coalesce(k1.names, '') as depends_on, coalesce(k2.n, 0) as n_used_by, coalesce(k2.names, '') as used_by from lx left join k1 on k1.id = lx.id left join k2 on k2.id = lx.id"),
+        "lineage_reach": q(ITEMS, EDGES, ", " + lineage, dist("ref", "dependent", "(select id from l)"), dist("dependent", "ref", "(select id from l)").replace(" r(", " t(").replace("select r.root", "select t.root").replace("r.dist", "t.dist").replace("from r ", "from t ").replace("= r.node", "= t.node").replace(" d as ", " u as "), ", " + reached, select="select l.id, coalesce(tk.n, 0) as n_upstream, coalesce(tk.names, '') as upstream, coalesce(rk.n, 0) as n_downstream, coalesce(rk.names, '') as downstream, len(coalesce(b.columns, []))::bigint as n_base_columns, array_to_string(coalesce(b.columns, [])[1:24], ',') as base_columns from l left join tk on tk.root = l.id and l.id in (select id from ids) left join rk on rk.root = l.id and l.id in (select id from ids) left join i on i.name = l.id left join b on b.name = i.name", recursive=True),
+        "compare_order": q(ITEMS, select=f"select row_number() over (order by phase, rank, name) - 1 as item_ord, name, status from (select name, status, (status = 'NOVO')::int as phase, {RANK('layer')} as rank from i union all select name, 'REMOVIDO', 2, 0 from gone)"),
+        "edge_order": q(ITEMS, EDGES, ", " + lineage, select=f"select row_number() over (order by {RANK('l.layer')}, dependent, ord) - 1 as edge_ord, ref as source, dependent as target from e join l on l.id = dependent where ref in (select id from l)"),
         "macro_nodes": q(ITEMS, EDGES, both(open_items), members, ", " + node, select="select focus, nd.* from mem join nd on nd.id = mem.id", recursive=True),
         "macro_edges": q(ITEMS, EDGES, both(open_items), members, select="select a.focus, e.ref as source, e.dependent as target, case when i.status = 'NOVO' or list_contains(i.add_refs, e.ref) then 'new' else 'exist' end as kind from mem a join e on e.dependent = a.id join mem z on z.focus = a.focus and z.id = e.ref left join i on i.name = e.dependent", recursive=True),
         "macro_heads": q(ITEMS, EDGES, dist("ref", "dependent", open_items), ", k as (select root, node, row_number() over (partition by root order by dist, node) as k from d)", select=f"select i.name as focus, case policy_action when 'create' then 'create' when 'append' then 'append' else 'context' end as mode, (select count(*) from d where d.root = i.name) as n_recompile, coalesce((select string_agg(node, ',' order by k) from k where k.root = i.name and k <= 12), '') as recompile from i where i.name in {open_items}", recursive=True),

@@ -108,6 +108,11 @@ def lineage_details(s: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "layer", "status", "visual", "policy_action", "n_columns", joined("columns"), "n_depends_on", joined("depends_on"), "n_used_by", joined("used_by"))
 
 
+def lineage_reach(s: SparkSession, d: str) -> DataFrame:
+    rows = views.lineage_reach(fixed(synth.items(s, d)), fixed(synth.merged(s, d)))
+    return rows.select("id", "n_upstream", joined("upstream"), "n_downstream", joined("downstream"), "n_base_columns", joined("base_columns"))
+
+
 def macro(part: int):
     """Nodes, edges or heads of the views around all pending items."""
     return lambda s, d: views.macro_views(fixed(synth.items(s, d)), fixed(synth.merged(s, d)), fixed(synth.base(s, d)))[part]
@@ -187,6 +192,9 @@ def queries() -> dict:
         "path_edges": lambda s, d: views.path_edges(fixed(m(s, d)), "int_m6"),
         "node_search": lambda s, d: views.search(views.lineage_nodes(i(s, d), m(s, d)), " M1 ").select("id"),
         "lineage_details": lineage_details,
+        "lineage_reach": lineage_reach,
+        "compare_order": lambda s, d: diff.compare_order(i(s, d, detect_removed=True)),
+        "edge_order": lambda s, d: views.edge_order(fixed(i(s, d)), fixed(m(s, d))),
         "macro_nodes": macro(0),
         "macro_edges": macro(1),
         "macro_heads": lambda s, d: macro(2)(s, d).select("focus", "mode", "n_recompile", joined("recompile")),

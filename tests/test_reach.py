@@ -34,6 +34,36 @@ def test_counts_and_first_names_with_cycles(spark):
     assert {r["root"]: r["names"] for r in reach.first_names(table, roots, 7).collect()} == {k: sorted(v)[:7] for k, v in want.items()}
 
 
+def steps(pairs):
+    """By each node the least number of steps to all that it reaches, level by level from each by itself."""
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+    out = {}
+    for root in to:
+        dist, level, k = {}, to[root], 1
+        while level:
+            dist |= dict.fromkeys(level, k)
+            level, k = {b for a in level for b in to.get(a, ()) if b not in dist}, k + 1
+        out[root] = dist
+    return out
+
+
+def test_nearest_and_farthest_with_cycles(spark):
+    rnd = random.Random(9)
+    names = [f"n{i}" for i in range(700)]
+    pairs = [(rnd.choice(names), rnd.choice(names)) for _ in range(900)] + [(f"c{i}", f"c{i + 1}") for i in range(30)] + [("x", "y"), ("y", "x"), ("n1", "n1"), (None, "x")]
+    pairs += [("hub", n) for n in names[:300]] + pairs[:20]
+    want = steps([p for p in pairs if None not in p])
+    roots = spark.createDataFrame([(n,) for n in [*want, "nowhere"]], "root string")
+    table = spark.createDataFrame(pairs, PAIRS)
+    for far in (False, True):
+        rows = {r["root"]: (r["n"], r["names"]) for r in reach.by_distance(table, roots, 5, farthest=far).collect()}
+        sign = -1 if far else 1
+        assert rows == {k: (len(v), sorted(v, key=lambda x: (sign * v[x], x))[:5]) for k, v in want.items()}
+    assert reach.by_distance(table.where("false"), roots).count() == 0
+
+
 def test_counts_of_empty_graphs(spark):
     none, roots = spark.createDataFrame([], PAIRS), spark.createDataFrame([("a",)], "root string")
     assert reach.counts(none, roots).count() == reach.first_names(none, roots).count() == 0
