@@ -9,8 +9,6 @@ from ..functions import parse as P
 from ..functions.yaml_lite import yaml_lite
 
 SOURCES = "array<struct<schema: string, table: string>>"
-#: Largest text that is read, in characters.
-LONGEST_TEXT = 2_000_000
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -18,7 +16,7 @@ def parse(files: DataFrame) -> DataFrame:
 
     All native but for YAML, whose files alone go through an Arrow function.
     """
-    rows = files.where(F.length("text") <= LONGEST_TEXT).withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
+    rows = files.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
     rows = rows.select("project", "path", "scan_ord", "text", P.stem(F.col("path")).alias("name"), P.extension(F.col("path")).alias("ext"), P.layer(F.col("path")).alias("layer"), P.domain(F.col("path")).alias("domain"))
     none, no_sources = F.array().cast("array<string>"), F.array().cast(SOURCES)
 

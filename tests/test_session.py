@@ -1,9 +1,14 @@
 import json
+from dataclasses import replace
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from spanloom.operators import integrity
 from spanloom.plans import session as S
 from spanloom.sources import project_files
+from spanloom.sources.run_files import write_lines
 
 DOMAINS = ["vendas", "frota", "financeiro", "rh"]
 COLUMNS = ["id_key", "nm_nome", "cd_codigo", "ts_evento"]
@@ -62,6 +67,95 @@ def test_scale_project(spark, config):
     assert manifest["totals"]["planned"] == 50 and not manifest["totals"]["complete"]
     assert S.timeline(spark, config.snapshots_path).first()["card_id"] == "c1"
 
+    out, snaps = Path(config.output_path), Path(config.snapshots_path)
+    said = json.loads((out / "session.json").read_text())
+    assert (said["summary"]["novo"], said["summary"]["acrescentar"], said["summary"]["base_models"]) == (14, 36, 67)
+    assert "36 arquivo(s)" in said["message"] and set(said["tables"]) == {p.name for p in (out / "session").iterdir()}
+    rows = lambda folder: [json.loads(x) for p in sorted(folder.iterdir()) for x in p.read_text().splitlines()]
+    reach = {r["id"]: r for r in rows(out / "session/lineage_reach")}
+    assert len(reach) == 101 and reach["fato_vendas_1"]["upstream"] == ["source.raw.vendas_src_2", "stg_vendas_2", "int_vendas_1"]
+    assert reach["agg_resumo_1"]["n_downstream"] == 0 and reach["agg_resumo_1"]["n_base_columns"] == 4
+    assert [r["edge_ord"] for r in sorted(rows(out / "session/lineage_edges"), key=lambda r: r["edge_ord"])] == list(range(120))
+    assert (out / "roteiro.md").read_text().count("- [ ]") == 50
+    plan = {r["model"]: r for r in rows(snaps / "c1/plan")}
+    assert len(plan) == 50 == manifest["pending_count"] and plan["int_novo_card_1"]["action"] == "create"
+    assert [i["name"] for i in plan["stg_rh_1"]["add_items"]] == ["qt_extra"] and plan["stg_rh_1"]["label"]
+    assert len(rows(snaps / "c1/changes")) == len(rows(snaps / "c1/structural_hashes")) == 50
+    assert S.history(spark, config.snapshots_path, "changes", "model string, status string").where("card_id = 'c1' and status = 'NOVO'").count() == 14
+    assert not list(out.rglob("*.part")) and not list(snaps.rglob("*.part"))
+
+
+def test_configuration(spark, config, tmp_path):
+    assert S.problems(config) == []
+    bad = lambda **changes: len(S.problems(replace(config, **changes)))
+    base = config.base_project_path
+    assert bad(output_path="") == bad(snapshots_path=f"{base}/x") == bad(aliases={"a": ""}) == bad(aliases=["a"]) == bad(match_threshold="much") == bad(match_threshold=1.5) == 1
+    assert bad(base_include=["vendas"]) == 0 and bad(base_include=["nowhere"]) == bad(base_include=["../x"]) == bad(base_include="vendas") == bad(base_include=[" "]) == 1
+    card = lambda c: S.safe_card(spark, replace(config, card_id=c))
+    assert [card(c) for c in ("a/b c", "../..", "", "é-1", "x" * 90)] == ["a_b_c", S.NO_CARD, S.NO_CARD, "é-1", "x" * 80]
+    (tmp_path / "c.json").write_text("[]")
+    with pytest.raises(ValueError):
+        S.load_config(str(tmp_path / "c.json"))
+
+
+def test_base_integrity(spark, config, tmp_path):
+    for path in ("a/x.sql", "a/b/y.sql", "c/z.sql"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("select 1")
+    own = replace(config, base_project_path=str(tmp_path))
+    before = S.base_tree(spark, own)
+    S.check_base(spark, own, before)
+    (tmp_path / "a/b/y.sql").write_text("select 2")
+    found = {r["folder"]: (r["n_before"], r["n_after"]) for r in integrity.changed(before, S.base_tree(spark, own)).collect()}
+    assert found == {"": (3, 3), "a": (2, 2), "a/b": (1, 1)}
+    with pytest.raises(RuntimeError, match="a/b"):
+        S.check_base(spark, own, before)
+    (tmp_path / "a/b/y.sql").write_text("select 1")
+    (tmp_path / "c/z.sql").rename(tmp_path / "c/w.sql")
+    assert {r["folder"] for r in integrity.changed(before, S.base_tree(spark, own)).collect()} == {"", "c"}
+    none = spark.createDataFrame([], "path string, text string")
+    assert integrity.tree(none).count() == 0 and integrity.changed(integrity.tree(none), before).count() == 4
+
+
+def test_lines_in_order_and_aborted_writes(spark, tmp_path):
+    out = str(tmp_path / "out")
+    lines = spark.range(1000).repartition(7).orderBy("id").select(F.col("id").cast("string").alias("line"))
+    write_lines(lines, f"{out}/all.txt", out, single=True)
+    assert (tmp_path / "out/all.txt").read_text().splitlines() == [str(i) for i in range(1000)]
+    write_lines(lines, f"{out}/parts", out)
+    write_lines(lines.limit(0), f"{out}/none", out)
+    assert list((tmp_path / "out/none").iterdir()) == []
+    broken = lines.select(F.when(F.col("line") == "900", F.raise_error(F.lit("no"))).otherwise(F.col("line")).alias("line"))
+    for single, name in ((True, "all.txt"), (False, "parts")):
+        with pytest.raises(Exception, match="no"):
+            write_lines(broken, f"{out}/{name}", out, single=single)
+    # What was there before is whole, and nothing else is left.
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["all.txt", "none", "parts"]
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "out/parts").iterdir()) == 1000
+    write_lines(lines.limit(3), f"{out}/parts", out)
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "out/parts").iterdir()) == 3
+    for path in ("/elsewhere/f", out, f"{out}/../f"):
+        with pytest.raises(PermissionError):
+            write_lines(lines, path, out)
+
+
+def test_scan_leaves_out_and_counts(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"d{k % 20}/e{k}").mkdir(parents=True)
+        (tmp_path / f"d{k % 20}/e{k}/m.sql").write_text("x" * k)
+    (tmp_path / "d1/link.sql").symlink_to(tmp_path / "d0/e0/m.sql")
+    (tmp_path / "d2/e2/node_modules").mkdir()
+    (tmp_path / "d2/e2/node_modules/n.sql").write_text("x")
+    read = lambda **o: [(r["path"], len(r["text"]), r["scan_ord"]) for r in project_files.read_project(spark, str(tmp_path), "base", **o).orderBy("scan_ord").collect()]
+    want = sorted((f"d{k % 20}/e{k}/m.sql", k) for k in range(40))
+    assert read() == [(*w, i) for i, w in enumerate(want)]
+    assert read(include=["d3", "d3", "gone"]) == [("d3/e23/m.sql", 23, 0), ("d3/e3/m.sql", 3, 1)]
+    assert [r[:2] for r in read(most_bytes=30)] == [w for w in want if w[1] <= 30] and len(read(most_files=5)) == 5
+    lost = {r["left_out"]: (r["n"], r["bytes"]) for r in project_files.left_out(spark, str(tmp_path), "base", most_bytes=30).collect()}
+    assert lost == {"size": (9, sum(range(31, 40))), "link": (1, 0)}
+    (tmp_path / "empty").mkdir()
+    assert project_files.read_project(spark, str(tmp_path / "empty"), "base").count() == 0
+
 
 def test_files(spark, tmp_path):
     for path in ("a/_x.sql", "a/.hidden.sql", "target/y.sql", "b/z.YML", "b/q.txt"):
