@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import vocabulary as V
-from ..sources.synth import DECLARED, FILES
+from ..sources.synth import DECLARED, FILES, PER_YAML, name
 from .queries import ALIASES
 
 REF = r"""\{\{\s*ref\s*\(\s*[''"]([^''"]+)[''"]\s*\)\s*\}\}"""
@@ -177,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "macro_nodes": q(ITEMS, EDGES, both(open_items), members, ", " + node, select="select focus, nd.* from mem join nd on nd.id = mem.id", recursive=True),
         "macro_edges": q(ITEMS, EDGES, both(open_items), members, select="select a.focus, e.ref as source, e.dependent as target, case when i.status = 'NOVO' or list_contains(i.add_refs, e.ref) then 'new' else 'exist' end as kind from mem a join e on e.dependent = a.id join mem z on z.focus = a.focus and z.id = e.ref left join i on i.name = e.dependent", recursive=True),
         "macro_heads": q(ITEMS, EDGES, dist("ref", "dependent", open_items), ", k as (select root, node, row_number() over (partition by root order by dist, node) as k from d)", select=f"select i.name as focus, case policy_action when 'create' then 'create' when 'append' then 'append' else 'context' end as mode, (select count(*) from d where d.root = i.name) as n_recompile, coalesce((select string_agg(node, ',' order by k) from k where k.root = i.name and k <= 12), '') as recompile from i where i.name in {open_items}", recursive=True),
-        "yaml_sources": f"select '_sources' as name, 'source' as type, (select string_agg('raw.t' || range, ',' order by range) from range({DECLARED})) as sources, 'stg_m5' as columns",
+        "yaml_sources": f"select '_sources_' || g as name, case when count(*) filter (k % 5 = 0) > 0 then 'source' else 'yaml' end as type, coalesce(string_agg('raw.t' || k, ',' order by k) filter (k % 5 = 0), '') as sources, coalesce(string_agg({name('k')}, ',' order by k) filter (k % 20 = 1), '') as columns from (select p_partkey as k, floor(p_partkey / {PER_YAML})::bigint as g from part) group by g",
         "flow_chains": q(ITEMS, EDGES, chains, select=f"select ord::int as ord, string_agg(ch.name || ' (' || {words} || ')', ' → ' order by k) as chain from ch join i on i.name = ch.name group by ord", recursive=True),
         "status_diff": q(ITEMS, select="select name, status from i union all select name, 'REMOVIDO' from gone"),
         "status_summary": q(ITEMS, select="select (select count(*) from i) + (select count(*) from gone) as total, " + ", ".join(f"count(*) filter (status = '{s}') as {s.lower()}" if s != "REMOVIDO" else "(select count(*) from gone) as removido" for s in V.STATUSES) + ", count(*) filter (policy_action = 'create') as n_create, count(*) filter (policy_action = 'append') as n_append, count(*) filter (policy_action = 'skip') as n_skip, (select count(*) from gone) as n_review, count(*) filter (policy_action = 'exists') as n_exists, sum(add_count)::bigint as items_to_add from i"),

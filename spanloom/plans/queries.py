@@ -205,7 +205,7 @@ def queries() -> dict:
         "session_summary": lambda s, d: session_summary(s, d).drop("cycle_count"),
         "session_message": lambda s, d: diff.message(session_summary(s, d)),
         "snippets": lambda s, d: report.snippets(i(s, d)),
-        "yaml_sources": lambda s, d: synth.yaml_models(s).select("name", "type", joined("sources"), joined("columns")),
+        "yaml_sources": lambda s, d: catalog.parse(synth.yaml_files(s, d)).select("name", "type", joined("sources"), joined("columns")),
         "flow_chains": lambda s, d: graph.flow_chains(fixed(i(s, d)), fixed(m(s, d))),
         # Without SQL: similarity by matching blocks, order by a heap, walks (of cycles in warnings_all, too), and prose.
         "warnings_all": warnings_all,

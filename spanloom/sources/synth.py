@@ -71,5 +71,19 @@ def yaml_models(spark: SparkSession) -> DataFrame:
     return catalog.parse(spark.createDataFrame([("base", "d0/models/_sources.yml", YAML, 0)], "project string, path string, text string, scan_ord long"))
 
 
+#: Parts that one YAML file of the projects stands for.
+PER_YAML = 100
+
+
+def yaml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML file for each hundred parts: every fifth is declared as a table of source raw, every twentieth as a model."""
+    k = F.col("p_partkey").cast("long")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("k"), F.expr(f"cast(floor(p_partkey / {PER_YAML}) as bigint)").alias("g"))
+    entries = lambda when, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("k", F.expr(line).alias("line"))))), lambda x: x["line"]), "")
+    grouped = parts.groupBy("g").agg(entries(F.col("k") % 5 == 0, "'      - name: t' || k || '\\n'").alias("tables"), entries(F.col("k") % 20 == 1, f"'  - name: ' || {name('k')} || '\\n'").alias("models"))
+    text = F.concat(F.lit("sources:\n  - name: raw\n    tables:\n"), "tables", F.lit("models:\n"), "models")
+    return grouped.select(F.lit("base").alias("project"), F.expr("'d' || (g % 7) || '/models/_sources_' || g || '.yml'").alias("path"), text.alias("text"), F.col("g").alias("scan_ord"))
+
+
 def items(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return diff.with_policy(diff.compare(base(spark, sf_dir), workspace(spark, sf_dir), **options))
