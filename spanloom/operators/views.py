@@ -200,9 +200,10 @@ def search(nodes: DataFrame, text: str) -> DataFrame:
 
 
 def focus_order(items: DataFrame, order: DataFrame) -> DataFrame:
-    """Pending items as foci: by suggested order, where the first step (0) and items without order count as 999, then by name."""
+    """Pending items as foci: by suggested order, where the first step (0) and items without order count as 999, then by name. Numbered by ranges."""
     at = F.when(F.coalesce("ord", F.lit(0)) == 0, 999).otherwise(F.col("ord"))
-    return items.where("pending").select("name").join(order.select("name", "ord"), "name", "left").select(F.row_number().over(Window.orderBy(at, "name")).alias("pos"), "name")
+    rows = items.where("pending").select("name").join(order.select("name", "ord"), "name", "left").select(at.alias("at"), "name")
+    return numbered(rows, ["at", "name"], "pos", "focus").select((F.col("pos") + 1).cast("int").alias("pos"), "name")
 
 
 #: Place in the order of items that it does not hold.

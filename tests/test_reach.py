@@ -1,6 +1,6 @@
 import random
 
-from spanloom.operators import graph, reach
+from spanloom.operators import diff, graph, reach, views
 
 PAIRS = "src string, dst string"
 
@@ -76,3 +76,14 @@ def test_item_impact_of_what_stands_for_another(spark):
     items = spark.createDataFrame([("a", None), ("new", "b"), ("d", None)], "name string, match_name string")
     got = {r["name"]: (r["n_impact"], r["impact_text"]) for r in graph.item_impact(items, models).collect()}
     assert got == {"a": (2, "Afeta depois: c, d"), "new": (3, "Afeta depois: c, d, e"), "d": (0, "Ninguém depende deste arquivo")}
+
+
+def test_compare_and_focus_order(spark):
+    rows = [("new", "NOVO", 1, True), ("gone", "REMOVIDO", 0, False), ("b", "IGUAL", 3, False), ("a", "ALTERADO", 3, True), ("s", "IGUAL", 1, False), ("as", "RENOMEADO", 0, True), ("away", "REMOVIDO", 4, False)]
+    items = spark.createDataFrame(rows, "name string, status string, layer_order int, pending boolean")
+    got = diff.compare_order(items).orderBy("item_ord").collect()
+    assert [(r["item_ord"], r["name"]) for r in got] == list(enumerate(["s", "a", "b", "as", "new", "away", "gone"]))
+    order = spark.createDataFrame([("a", 0), ("as", 1)], "name string, ord int")
+    got = views.focus_order(items, order).orderBy("pos").collect()
+    assert [(r["pos"], r["name"]) for r in got] == [(1, "as"), (2, "a"), (3, "new")]
+    assert diff.compare_order(items.where("false")).count() == 0
