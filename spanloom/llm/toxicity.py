@@ -1,13 +1,14 @@
 """Toxicity by a support vector machine over a gapped subsequence kernel with Nyström landmarks.
 
-The kernel compares two words by the triples of characters that they share in order, gaps allowed: each
+The kernel compares two words by the threes and fours of characters that they share in order, gaps allowed: each
 occurrence weighs DECAY per skipped character, so insults with inserted, dropped or separated letters stay
 close to their plain form. The feature map is normalised by the weights of its occurrences. Training takes
 labelled documents as bags of sentences: a toxic document has a toxic sentence, and in it a word that makes it so;
 which one is found in rounds (the word of highest score), against all words of clean documents, the hardest
 among them. The machine is linear in the kernel values to some landmarks, so for scoring it folds into one
-weight per triple. A document's score is a probability
-fitted to the scores of its worst words, in whichever sentences they stand.
+weight per subsequence. A document's score is a probability
+fitted to the scores of its worst words, in whichever sentences they stand, and to how many of its words, repeats
+included, are bad ones: one word like an insult says less in a long text.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,17 @@ LANDMARKS, ROUNDS, THRESHOLD = 320, 3, 0.7
 WORST = 3
 #: Logarithm of how much more often a word comes in toxic documents to count as guilty by itself.
 STRONG_LIFT = 3.5
-#: Span of a triple in characters, weight of a skipped one, longest piece of a word looked at in one go and its overlap.
+#: Span of a subsequence in characters, weight of a skipped one, longest piece of a word looked at in one go and its overlap.
 SPAN, DECAY, PIECE, OVERLAP = 6, 0.5, 32, 12
 #: Character classes: end of word, letters, digits, others by their number.
 CLASSES = 40
 #: Words whose scores a Python worker remembers.
 WORDS_KEPT = 120_000
-OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+#: Places of the characters after the first, for threes and fours; those without gaps first.
+OFFSETS = [rest for length in (2, 3) for rest in sorted(combinations(range(1, SPAN), length), key=max)]
+FEATURES = CLASSES**3 + CLASSES**4
+#: Scores above which a word counts as bad rather than not, and how sharply.
+BAD, SHARP = 1.0, 4.0
 AT_ONCE, AT_ONCE_WORDS = 1 << 20, 20_000
 _SPELLED = re.compile(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)")
 _OTHER = re.compile(r"[\W_]+")
@@ -64,8 +70,8 @@ def pieces(word: str) -> list[str]:
     return [word[i : i + PIECE] for i in range(0, max(1, len(word) - OVERLAP), PIECE - OVERLAP)]
 
 
-class Triples:
-    """Occurrences of the triples of many pieces: places of each kind of gap, their features, and norms."""
+class Subsequences:
+    """Occurrences of the threes and fours of many pieces: places of each kind of gaps, their features, and norms."""
 
     def __init__(self, parts: list[str]):
         joined = "\0" + "\0\0".join(parts) + "\0" if parts else ""  # each piece stands between two ends of word
@@ -78,9 +84,12 @@ class Triples:
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         at, c = np.arange(len(self.code)), self.code
-        for a, b in OFFSETS:
-            here = at[at + b < self.end]
-            yield here, (c[here] * CLASSES + c[here + a]) * CLASSES + c[here + b], DECAY ** (b - 2)
+        for rest in OFFSETS:
+            here = at[at + rest[-1] < self.end]
+            feature = c[here]
+            for step in rest:
+                feature = feature * CLASSES + c[here + step]
+            yield here, feature + (CLASSES**3 if len(rest) == 3 else 0), DECAY ** (rest[-1] - len(rest))
 
     def norms(self) -> np.ndarray:
         total = np.zeros(len(self.code))
@@ -88,23 +97,30 @@ class Triples:
             total[here] += w * w
         return np.sqrt(np.maximum(np.add.reduceat(total, self.start), 1e-12)) if self.n else np.zeros(0)
 
-    def dot(self, weights: np.ndarray) -> np.ndarray:
-        """Normalised feature map times weights (one column, or several), by piece."""
+    def dot(self, weights: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """Normalised feature map times weights (one column, or several), by piece. With `place`, the row of weights of each feature, 0 for none."""
         total = np.zeros((len(self.code), *weights.shape[1:]), np.float64)
         for here, feature, w in self:
+            if place is not None:
+                feature = place[feature]
+                here, feature = here[feature > 0], feature[feature > 0]
             total[here] += w * weights[feature]
         return (np.add.reduceat(total, self.start, axis=0).T / self.norms()).T if self.n else total
 
-    def features(self) -> np.ndarray:
-        """The normalised feature map, a column per piece; for landmarks only."""
-        out, norms, of = np.zeros((CLASSES**3, self.n), np.float32), self.norms(), np.repeat(np.arange(self.n), np.diff(np.r_[self.start, len(self.code)]))
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The normalised feature map, a column per piece, as (features that occur, place of each feature or 0, rows by place, the first of zeros); for landmarks only."""
+        norms, of = self.norms(), np.repeat(np.arange(self.n), np.diff(np.r_[self.start, len(self.code)]))
+        found = np.unique(np.concatenate([feature for _, feature, _ in self]))
+        place = np.zeros(FEATURES, np.int32)
+        place[found] = np.arange(1, len(found) + 1)
+        out = np.zeros((len(found) + 1, self.n), np.float32)
         for here, feature, w in self:
-            np.add.at(out, (feature, of[here]), w / norms[of[here]])
-        return out
+            np.add.at(out, (place[feature], of[here]), w / norms[of[here]])
+        return found, place, out
 
 
 class Model:
-    """weights per triple, bias, and the slopes that make a probability of a document's worst words."""
+    """weights per subsequence, bias, and the slopes that make a probability of the scores of a document's words."""
 
     def __init__(self, weights: np.ndarray, bias: float, slopes: np.ndarray):
         self.weights, self.bias, self.slopes, self.id = weights, bias, slopes, uuid.uuid4().hex
@@ -113,18 +129,18 @@ class Model:
         out: list[float] = []
         for at in range(0, len(words), at_once):
             cut = [pieces(w) for w in words[at : at + at_once]]
-            flat = Triples([p for ps in cut for p in ps]).dot(self.weights) + self.bias
+            flat = Subsequences([p for ps in cut for p in ps]).dot(self.weights) + self.bias
             out += np.maximum.reduceat(flat, np.cumsum([0] + [len(ps) for ps in cut[:-1]])).tolist()
         return out
 
     def probability(self, scores: list[float]) -> float:
-        """That a document with words of these scores (repeats count once) is toxic."""
-        return float(1 / (1 + np.exp(-np.clip(worst_words(heapq.nlargest(WORST, set(scores))) @ self.slopes, -40, 40))))
+        """That a document with words of these scores is toxic."""
+        return float(1 / (1 + np.exp(-np.clip(evidence(scores) @ self.slopes, -40, 40))))
 
 
-def to_landmarks(words: list[str], columns: np.ndarray, at_once: int = 500) -> np.ndarray:
+def to_landmarks(words: list[str], columns: np.ndarray, place: np.ndarray, at_once: int = 500) -> np.ndarray:
     """Kernel values of words to the landmarks whose features are the columns."""
-    return np.concatenate([Triples(words[i : i + at_once]).dot(columns) for i in range(0, len(words), at_once)])
+    return np.concatenate([Subsequences(words[i : i + at_once]).dot(columns, place) for i in range(0, len(words), at_once)])
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
@@ -158,7 +174,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     toxic = np.array(toxic, bool)
     if not toxic.any() or toxic.all():
         share = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.0
-        return Model(np.zeros(CLASSES**3), 0.0, np.r_[np.zeros(WORST), np.log(share / (1 - share)) if share else -40.0])
+        return Model(np.zeros(FEATURES, np.float32), 0.0, np.r_[np.zeros(WORST + 3), np.log(share / (1 - share)) if share else -40.0])
     bags = [sorted({p for s in sentences(t) for w in words_of(s) for p in pieces(w)} | {""}) for t in texts]
     names = sorted({w for bag in bags for w in bag})
     number = {w: i for i, w in enumerate(names)}
@@ -170,7 +186,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     # First guess: words whose ungapped triples and which themselves come in more toxic than clean documents than chance has it.
     of, feature = [], []
     for i in range(0, len(names), AT_ONCE_WORDS):
-        table = Triples(names[i : i + AT_ONCE_WORDS])
+        table = Subsequences(names[i : i + AT_ONCE_WORDS])
         here, found, _ = next(iter(table))
         of.append((np.repeat(np.arange(table.n), np.diff(np.r_[table.start, len(table.code)]))[here] + i).astype(np.int32))
         feature.append(found.astype(np.int32))
@@ -209,35 +225,47 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
         rest = np.unique(np.r_[hard, common[counts[0][common] > 0], rng.choice(clean_words, min(6000, len(clean_words)), replace=False)])
         often = np.array([w for w, _ in witness.most_common(LANDMARKS // 3)])
         marks = np.unique(np.r_[often, strong[: LANDMARKS // 3], hard[: LANDMARKS // 6], rng.choice(rest, min(len(rest), LANDMARKS // 6), replace=False)]).astype(np.int64)
-        columns = Triples([names[m] for m in marks]).features()
-        own, vectors = np.linalg.eigh(to_landmarks([names[m] for m in marks], columns))
+        found, place, columns = Subsequences([names[m] for m in marks]).features()
+        own, vectors = np.linalg.eigh(to_landmarks([names[m] for m in marks], columns, place))
         root = vectors[:, own > 1e-6] / np.sqrt(own[own > 1e-6])
         # Words weigh by the documents that they speak for; each also counts with a character put in between, so that
         # the machine learns to look past it.
         weight, blame = 1.0 + counts[1][guilty], 1.0 + counts[0][rest]
         bent = [disguised(names[w], rng) for w in [*guilty, *np.repeat(strong[:100], 8)]]
         share = np.r_[weight / weight.sum() / 3, np.full(len(bent), 1 / len(bent) / 6), np.minimum(blame, 20) / np.minimum(blame, 20).sum() / 2]
-        v = fit_machine(to_landmarks([names[w] for w in guilty] + bent + [names[w] for w in rest], columns) @ root, np.r_[np.ones(len(guilty) + len(bent)), -np.ones(len(rest))], share)
+        v = fit_machine(to_landmarks([names[w] for w in guilty] + bent + [names[w] for w in rest], columns, place) @ root, np.r_[np.ones(len(guilty) + len(bent)), -np.ones(len(rest))], share)
         mix, bias = root @ v[:-1], v[-1]
-        weights = np.concatenate([columns[i : i + 4_000] @ mix for i in range(0, len(columns), 4_000)])  # a product of mixed types copies its matrix
-        del columns
-        score = np.concatenate([Triples(names[i : i + AT_ONCE_WORDS]).dot(weights) for i in range(0, len(names), AT_ONCE_WORDS)]) + bias
-    # Platt's fit of a probability, with his smoothed targets, to the scores of the documents' worst words. Toxic documents
-    # weigh more where they are few, up to three times.
+        weights = np.zeros(FEATURES, np.float32)
+        weights[found] = np.concatenate([columns[i : i + 4_000] @ mix for i in range(0, len(columns), 4_000)])[1:]  # a product of mixed types copies its matrix
+        del columns, place
+        score = np.concatenate([Subsequences(names[i : i + AT_ONCE_WORDS]).dot(weights) for i in range(0, len(names), AT_ONCE_WORDS)]) + bias
+    # Platt's fit of a probability, with his smoothed targets, to the evidence of the documents. Toxic documents
+    # weigh more where they are few, up to five times.
+    model = Model(weights, float(bias), np.zeros(WORST + 4))
+    del bags, names, number, hashes, flat
+    z, known = [], {}
+    for i in range(0, len(texts), 100):
+        split = [words_of(t) or [""] for t in texts[i : i + 100]]
+        fresh = sorted({w for words in split for w in words} - known.keys())
+        known.update(zip(fresh, model.score_words(fresh), strict=True))
+        z += [evidence([known[w] for w in words]) for words in split]
+    z = np.array(z)
     aim = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
-    share = np.where(toxic, np.clip((~toxic).sum() / toxic.sum(), 1, 3), 1.0)
-    z = np.array([worst_words(score[bag]) for bag in bags])
-    slopes = np.zeros(WORST + 1)
+    share = np.where(toxic, np.clip((~toxic).sum() / toxic.sum(), 1, 5), 1.0)
+    slopes = model.slopes
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ slopes, -40, 40)))
-        slopes += np.clip(np.linalg.solve((z * (share * p * (1 - p) + 1e-6)[:, None]).T @ z + 0.1 * np.eye(WORST + 1), z.T @ (share * (aim - p)) - 0.1 * slopes), -2, 2)
-    return Model(weights, float(bias), slopes)
+        slopes += np.clip(np.linalg.solve((z * (share * p * (1 - p) + 1e-6)[:, None]).T @ z + 0.1 * np.eye(len(slopes)), z.T @ (share * (aim - p)) - 0.1 * slopes), -2, 2)
+    return model
 
 
-def worst_words(scores) -> np.ndarray:
-    """The highest scores of a document's distinct words, within the margins' reach, and a constant."""
-    top = np.sort(np.asarray(scores, float))[::-1][:WORST]
-    return np.r_[np.clip(top, -2, 4), np.full(WORST - len(top), -2.0), 1.0]
+def evidence(scores: list[float]) -> np.ndarray:
+    """What a document's words say: the highest scores of distinct words, within the margins' reach; how many words, repeats included, are bad, and what share of all (logarithms, as is the number of words); and a constant."""
+    scores = np.asarray(scores, float)
+    top = np.array(heapq.nlargest(WORST, set(scores[scores > -2].tolist())))
+    bad = (1 / (1 + np.exp(-SHARP * (np.clip(scores, -9, 9) - BAD)))).sum()
+    size = np.log(len(scores) + 20)
+    return np.r_[np.clip(top, -2, 4), np.full(WORST - len(top), -2.0), np.log1p(bad), np.log(bad + 0.3) - size, size, 1.0]
 
 
 def held_out(doc_id) -> object:
@@ -270,8 +298,14 @@ def hash_order(key: object) -> tuple:
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score", *, text: str = "text") -> DataFrame:
-    """docs with the double column `name`: the model's probability that the whole text is toxic. Null and empty texts have a score, too."""
-    model_of = docs.sparkSession.sparkContext.broadcast(model)  # one weight per triple, whatever the input
+    """docs with the double column `name`: the model's probability that the whole text is toxic.
+
+    Null and empty texts count as one empty word and have a score; very long texts are taken whole; repeated rows stay and
+    score alike; an empty table gives an empty one. A column that is called `name` already is replaced, wherever it stood, as withColumn
+    does; all others go through as they are.
+    """
+    docs = docs.drop(name)
+    model_of = docs.sparkSession.sparkContext.broadcast(model)  # one weight per subsequence, whatever the input
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

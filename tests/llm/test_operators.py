@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -228,23 +230,72 @@ def test_subsequence_kernel_against_plain_loops():
     def features(word):
         code = [0, *(int(toxicity._CLASS[ord(c)]) for c in word), 0]
         out, norm = Counter(), 0.0
-        for i in range(len(code)):
-            for j in range(i + 1, len(code)):
-                for k in range(j + 1, min(len(code), i + toxicity.SPAN)):
-                    w = toxicity.DECAY ** (k - i - 2)
-                    out[(code[i] * toxicity.CLASSES + code[j]) * toxicity.CLASSES + code[k]] += w
+        for length in (3, 4):
+            for places in itertools.combinations(range(len(code)), length):
+                if places[-1] - places[0] < toxicity.SPAN:
+                    w = toxicity.DECAY ** (places[-1] - places[0] - length + 1)
+                    number = 0
+                    for at in places:
+                        number = number * toxicity.CLASSES + code[at]
+                    out[number + (length - 3) * toxicity.CLASSES**3] += w
                     norm += w * w
         return {f: w / max(norm, 1e-12) ** 0.5 for f, w in out.items()}
 
     words = ["", "a", "ab", "quarg", "qxuarg", "zwackel7", "éßa", "aaaaaaaa"]
-    weights = np.random.default_rng(8).normal(size=toxicity.CLASSES**3)
+    weights = np.random.default_rng(8).normal(size=toxicity.FEATURES)
     maps = [features(w) for w in words]
-    assert toxicity.Triples(words).dot(weights) == pytest.approx([sum(v * weights[f] for f, v in m.items()) for m in maps])
+    assert toxicity.Subsequences(words).dot(weights) == pytest.approx([sum(v * weights[f] for f, v in m.items()) for m in maps])
     kernel = [[sum(v * other.get(f, 0) for f, v in m.items()) for other in maps] for m in maps]
-    assert toxicity.to_landmarks(words, toxicity.Triples(words).features(), 3) == pytest.approx(np.array(kernel), abs=1e-5)
+    found, place, columns = toxicity.Subsequences(words).features()
+    assert set(found.tolist()) == {f for m in maps for f in m} and (place[found] == np.arange(1, len(found) + 1)).all()
+    assert toxicity.to_landmarks(words, columns, place, 3) == pytest.approx(np.array(kernel), abs=1e-5)
     assert kernel[3][4] > 0.5 > kernel[3][5]  # an inserted letter leaves a word close to itself
 
 
+def test_toxicity_score_of_a_document_against_plain_loops(spark):
+    """A document's score from its words, one by one; a score column that is there already is replaced."""
+    rng = np.random.default_rng(11)
+    slopes = rng.normal(size=toxicity.WORST + 4)
+    weights = rng.normal(size=toxicity.FEATURES).astype(np.float32)
+    model = toxicity.Model(weights, 0.3, slopes)
+
+    def slow(text):
+        words = (text or "").lower().split()
+        words += [re.sub(r"[ \t]", "", x) for x in re.findall(r"(?<!\S)\w(?:[ \t]\w){2,}(?!\S)", (text or "").lower())]
+        scores = [model.score_words([w])[0] for w in words or [""]]
+        top = [min(max(x, -2), 4) for x in sorted(set(scores), reverse=True)[: toxicity.WORST]]
+        top += [-2] * (toxicity.WORST - len(top))
+        bad = sum(1 / (1 + math.exp(-toxicity.SHARP * (min(max(x, -9), 9) - toxicity.BAD))) for x in scores)
+        z = [*top, math.log(1 + bad), math.log(bad + 0.3) - math.log(len(scores) + 20), math.log(len(scores) + 20), 1]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, slopes, strict=True))))
+
+    texts = ["quarg ba do", "Quarg quarg, quarg!", "s p e l l e d out", "", None, "x" * 5000 + " a b", "a b c a b c", "ba do ke li mu " * 300]
+    docs = spark.createDataFrame([(i, 7.5, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, score double, text string")
+    rows = toxicity.with_score(docs, model).collect()
+    assert [c for c in rows[0].asDict()] == ["doc_id", "text", "score"]
+    assert {r["doc_id"]: r["score"] for r in rows} == pytest.approx({i: slow(t) for i, t in enumerate([*texts, texts[0]])})
+    assert toxicity.with_score(docs.where("false"), model).count() == 0
+    assert toxicity.without_toxic(docs, model).columns == docs.columns
+
+
+def test_toxicity_counts_how_many_words_are_bad():
+    """What looks like an insult by chance says less in a long text, and insults add up."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice("ba do ke li mu ra so te".split(), 3))
+    texts, toxic = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        words = [word() for _ in range(40 if bad else 400)]
+        for _ in range(4 if bad else int(i % 10 == 1)):
+            words[int(rng.integers(len(words)))] = "bado" + word()[:2] + "kral"
+        texts.append(" ".join(words))
+        toxic.append(int(bad))
+    model = toxicity.train(texts, toxic)
+    of = lambda text: model.probability(model.score_words(toxicity.words_of(text)))
+    plain = [word() for _ in range(400)]
+    assert of(" ".join(["badolikral", "badomukral", "badorakral", *plain[:40]])) > 0.7 > of(" ".join(["badolikral", *plain]))
+
+
 def test_toxicity_collects_within_its_budget(spark, monkeypatch):
     rows = [(0, f"{i:02} " + "ba do ke li " * 4) for i in range(30)] + [(1, "long " * 1000)] + [(i, f"mu ra so te {i:02}") for i in range(3, 30)] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
