@@ -61,6 +61,20 @@ def test_candidates_lose_nothing(spark):
     assert ("stg_x", "stg_y") in {p[:2] for p in pairs(match.candidates(work, base))}  # no structure on both sides
 
 
+def test_candidates_by_shapes_of_names(spark):
+    """Names of the same letters are compared once, and none of their pairs is lost."""
+    rng = random.Random(6)
+    text = lambda k: f"select a1, b1, {rng.choice(['c1', 'd1'])} from {{{{ ref('{k}{rng.randrange(1000)}') }}}}"
+    work = models(spark, "workspace", {f"stg_{rng.choice(['', 'v'])}m{i}": text("p") for i in rng.sample(range(100, 999), 60)})
+    base = models(spark, "base", {f"{rng.choice(['stg_', 'stg_x', 'src_'])}m{i}": text("q") for i in rng.sample(range(100, 999), 80)})
+    pairs = lambda c: {(r["name"], r["match_name"], round(r["score"], 9)) for r in match.scored(c).collect()}
+    found = match.candidates(work, base)
+    assert pairs(found) == pairs(match.candidates(work, base, 0.4)) != set()
+    assert found.count() == found.select("w_name", "b_name").distinct().count() < work.count() * base.count()
+    shapes = match.shaped(match.side(work, "w"), "w").select("w_shape").distinct().count()
+    assert 1 < shapes < work.count()
+
+
 def test_cycle_and_order(spark):
     work = models(spark, "workspace", {"a": refs("c"), "b": refs("a"), "c": refs("b"), "d": refs("a"), "e": refs(), "f": refs("e")})
     items = diff.with_policy(diff.compare(models(spark, "base", {"zz": refs()}), work))
