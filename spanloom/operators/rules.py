@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
@@ -122,8 +122,11 @@ def similar_existing(items: DataFrame, models: DataFrame) -> DataFrame:
     new = items.where("status = 'NOVO' and length(name) > 3").select("name", word.alias("word"), F.explode("refs").alias("ref"))
     old = items.where("status in ('IGUAL', 'ALTERADO', 'REMOVIDO')").select(F.col("name").alias("other"), word.alias("word"), F.struct((F.col("status") == "REMOVIDO").alias("r"), "layer_order", "name").alias("place"))
     refs = models.select(F.col("name").alias("other"), F.explode("refs").alias("ref"))
-    hits = new.join(old.join(refs, "other"), ["word", "ref"]).where("name <> other")
-    first = hits.groupBy("name").agg(F.min_by("other", "place").alias("other"))
+    # The first two of each word and reference are enough: all others come later, and at most one of these is the new model itself.
+    order = Window.partitionBy("word", "ref").orderBy("place")
+    old = old.join(refs, "other").withColumn("k", F.row_number().over(order)).where("k <= 2").select("word", "ref", "place")
+    hits = new.join(old, ["word", "ref"]).where("name <> place.name")
+    first = hits.groupBy("name").agg(F.min("place").alias("place")).select("name", F.col("place.name").alias("other"))
     return warning(first, "info", "Info", "SIMILAR", detail=F.col("other"), emit=13)
 
 
