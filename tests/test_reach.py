@@ -87,3 +87,22 @@ def test_compare_and_focus_order(spark):
     got = views.focus_order(items, order).orderBy("pos").collect()
     assert [(r["pos"], r["name"]) for r in got] == [(1, "as"), (2, "a"), (3, "new")]
     assert diff.compare_order(items.where("false")).count() == 0
+
+
+def test_counts_both_ways_with_cycles_that_touch(spark):
+    rnd = random.Random(11)
+    names = [f"n{i}" for i in range(60)]
+    pairs = [(rnd.choice(names), rnd.choice(names)) for _ in range(70)] + [("x", "y"), ("y", "x"), ("y", "z"), ("z", "w"), ("w", "z"), ("s", "s"), ("a", "b"), ("b", "c"), ("a", "c")]
+    down, up = reached(pairs), reached([(b, a) for a, b in pairs])
+    got = {r["node"]: (r["n_up"], r["n_down"]) for r in reach.counts_both_ways(spark.createDataFrame(pairs, PAIRS)).collect()}
+    assert got == {n: (len(up.get(n, ())), len(down.get(n, ()))) for n in {*up, *down}}
+
+
+def test_reach_lists_are_not_read_again(spark, monkeypatch):
+    """A chain of 40: every pair is found once, so all that the rounds write of it grows with the pairs, not with rounds times pairs."""
+    wrote, own = [], reach.written
+    monkeypatch.setattr(reach, "written", lambda df, tag: (out := own(df, tag), wrote.append((tag, out.count())))[0])
+    chain = spark.createDataFrame([(f"c{k:02d}", f"c{k + 1:02d}") for k in range(40)], PAIRS)
+    roots = spark.createDataFrame([(f"c{k:02d}",) for k in range(41)], "root string")
+    assert {r["n"] for r in reach.counts(chain, roots).collect()} == set(range(1, 41))
+    assert sum(n for tag, n in wrote if tag == "reach") == 40 * 41 // 2
