@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,11 @@ from .memo import Memo, held, sliced, uncollected
 END_ID = 1
 #: Ids of a block; ids after which a chunk ends at its document's end; characters encoded at a time.
 BLOCK, CHUNK, AT_ONCE = 1 << 15, 1 << 18, 1 << 20
+#: Stems that the tokenizer is asked for in one text.
+TOGETHER = 512
 MARKS = ".,!?;:"
+#: What the tokenizer cuts lower-case ASCII text into before anything is merged (white space is what its Unicode tables say, not Python's).
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+").findall
 CHUNK_SCHEMA = "shard int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, planes array<binary>"
 
 
@@ -45,18 +50,44 @@ def _encoder(path: str, added: bool) -> Memo:
     if not all(t.startswith("<|") and not re.search(r"[ \n]", t) for t in special):
         raise ValueError("an added token that does not start with '<|', or holds white space")
 
+    last = np.zeros(1 + max(tokenizer.get_vocab(with_added_tokens=True).values()), bool)
+    last[[i for t, i in tokenizer.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")]] = True
+
     def ask(words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    stems, marks = Memo(ask), dict(zip(MARKS, ask(list(MARKS)), strict=True))
+    def learn(stems: list[str]) -> list[bytes]:
+        """Stems of letters are asked for in one text: each ends with the one token of a word's end. Where these are not as many as the stems, one was cut, and each is asked for by itself."""
+        made = {}
+        plain = [s for s in stems if s.isalpha()]
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
+            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                made.update(zip(part, [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)], strict=True))
+        rest = [s for s in stems if s not in made]
+        made.update(zip(rest, ask(rest), strict=True))
+        return [made[s] for s in stems]
+
+    stems = Memo(learn)
+
+    def cut(word: str) -> list[str]:
+        # Added tokens are found in the text as it is written: words with '<|' are left to the library, which finds '<|endoftext|>' but not '<|ENDOFTEXT|>'.
+        if "<|" in word:
+            return [word]
+        # Case is folded.
+        if word.isascii():
+            word = word.lower()
+            return [word] if word.isalpha() else PIECES(word)
+        # Letters are cut from a mark after them before anything is merged.
+        return [word[:-1], word[-1]] if word[-1] in MARKS and word[:-1].isalpha() else [word]
 
     def make(words: list[str]) -> list[bytes]:
-        # Letters are cut from a mark after them before anything is merged, and case is folded.
-        cut = [(w[:-1], w[-1]) if w[-1:] in marks and w[:-1].isalpha() else (w, "") for w in words]
-        # Added tokens are found in the text as it is written: words with '<|' are left to the library, which finds '<|endoftext|>' but not '<|ENDOFTEXT|>'.
-        cut = [(s.lower() if s.isascii() and "<|" not in s else s, m) for s, m in cut]
-        known = stems.learn([s for s, _ in cut])
-        return [known[s] + marks[m] if m else known[s] for s, m in cut]
+        pieces = [cut(w) for w in words]
+        known = stems.learn([p for own in pieces for p in own])
+        return [known[own[0]] if len(own) == 1 else b"".join(map(known.__getitem__, own)) for own in pieces]
 
     return Memo(make)
 
@@ -65,14 +96,24 @@ def encode(texts: list[str | None], path: str, *, added: bool = False) -> Iterat
     """Ids of each text, packed. Null is encoded as empty. added: strings of added tokens in a text are these tokens, as by the library's default; else they are ordinary text."""
     memo, at = encoder(path, added), 0
     while at < len(texts):
-        split, size = [], 0
+        start, size = at, 0
         while at < len(texts) and size < AT_ONCE:
-            split.append((texts[at] or "").replace("\n", " ").split(" "))
             size += len(texts[at] or "")
             at += 1
-        known = memo.learn([w for words in split for w in words])
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+        lines = pc.replace_substring(pa.array([t or "" for t in texts[start:at]], pa.large_string()), "\n", " ")
+        split = pc.split_pattern(lines, " ")
+        # Each distinct word is looked up once; the texts' ids are then gathered by the words' places.
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = memo.learn(words)
+        made = [known[w] for w in words]
+        length = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        first, word = np.cumsum(length) - length, coded.indices.to_numpy()
+        n = length[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = np.frombuffer(b"".join(made), "<u4")[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        stops = (4 * ends[split.offsets.to_numpy()]).tolist()
+        yield from (raw[s:e] for s, e in zip(stops, stops[1:], strict=False))
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:

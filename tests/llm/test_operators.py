@@ -167,6 +167,46 @@ def test_token_ids_of_added_tokens_are_the_librarys(spark, tmp_path):
     assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [[*x, 1] for x in ids]
 
 
+def test_token_ids_ask_the_tokenizer_for_stems_together(monkeypatch):
+    """Thousands of words that were never seen are few calls and few texts for the library; each distinct word of a batch is looked up once."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghäßñÉ", k=rnd.randint(3, 12))) for _ in range(3_000)]
+    odd = ["İstanbul", "ǅabc", "ªº", "ʰx", "日本語", "x</w>y", "it's", "o'clock're", "a1b22", "foo@bar.com", "x\x1cy", "e\u0301a", "\u1100\u1161", "ﬁn"]
+    texts = [" ".join(words[:2_000]), None, " ".join(w.title() + rnd.choice(["", ".", "'s", "-7", "&&&"]) for w in words), " ".join(odd), "\n".join(odd) + "<|endoftext|>"] + odd
+    asked, batch = [], Tokenizer.encode_batch_fast
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __setattr__(self, name, value):
+            object.__setattr__(self, name, value) if name == "inner" else setattr(self.inner, name, value)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode(self, text, **options):
+            asked.append(1)
+            return self.inner.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return batch(self.inner, texts, **options)
+
+    class Source:
+        from_file = staticmethod(lambda p: Counted(library))
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Source)
+    monkeypatch.setattr(token_output, "held", lambda key, make: make())
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_output.encode(texts, path, added=True)]
+    assert 2 * sum(asked) < len({w for t in texts for w in (t or "").split()})
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 24))
