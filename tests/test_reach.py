@@ -106,3 +106,46 @@ def test_reach_lists_are_not_read_again(spark, monkeypatch):
     roots = spark.createDataFrame([(f"c{k:02d}",) for k in range(7)], "root string")
     assert {r["n"] for r in reach.counts(chain, roots).collect()} == set(range(1, 7))
     assert sum(n for tag, n in wrote if tag == "reach") == 6 * 7 // 2
+
+
+MODEL = "name string, layer string, type string, refs array<string>, sources array<struct<schema: string, table: string>>"
+
+
+def test_views_list_each_pair_once(spark, monkeypatch):
+    """A chain of 9 models, three of them roots: all rows that rounds write are the pairs with a root, whatever the number of rounds."""
+    wrote, own = [], reach.written
+
+    def counted(df, tag):
+        out = own(df, tag)
+        wrote.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(reach, "written", counted)
+    monkeypatch.setattr(graph, "written", counted)
+    names = [f"c{k}" for k in range(9)]
+    models = spark.createDataFrame([(n, "staging", "model", names[k - 1 : k] if k else ["gone"], []) for k, n in enumerate(names)], MODEL)
+    roots = ["c1", "c4", "c8"]
+    got = {r["root"]: (r["n_up"], r["n_down"]) for r in views.ego(models, spark.createDataFrame([(r,) for r in [*roots, "alone"]], "root string")).collect()}
+    assert got == {"c1": (2, 7), "c4": (5, 4), "c8": (9, 0), "alone": (0, 0)}
+    assert sum(n for tag, n in wrote if tag == "reach") == 2 + 7 + 5 + 4 + 9
+    wrote.clear()
+    items = spark.createDataFrame([(r, None) for r in roots], "name string, match_name string")
+    rows = views.macro_members(items, models, items.select(items["name"].alias("focus"))).rows.collect()
+    assert len(rows) == len({(r["focus"], r["id"]) for r in rows}) == 27 + 3
+    assert sum(n for tag, n in wrote if tag == "reach") == 27
+
+
+def test_levels_send_nothing_through_the_driver(spark, monkeypatch):
+    """What is ready in a round is not broadcast: it grows with the graph, and there are as many rounds as levels."""
+    plans, own = [], reach.written
+
+    def planned(df, tag):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return own(df, tag)
+
+    monkeypatch.setattr(reach, "written", planned)
+    monkeypatch.setattr(graph, "written", planned)
+    refs = {"a": [], "b": ["a"], "c": ["b", "a"], "d": ["gone"], "x": ["y"], "y": ["x", "c"], "z": ["x"]}
+    models = spark.createDataFrame([(n, "staging", "model", r, []) for n, r in refs.items()], MODEL)
+    assert {r["name"]: r["level"] for r in graph.levels(models).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
+    assert plans and not any("Broadcast" in p for p in plans)
