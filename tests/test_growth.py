@@ -1,6 +1,6 @@
 """What work may grow with: tests on plans, rows and numbers of tasks."""
 
-from spanloom.operators import rules
+from spanloom.operators import match, rules
 from spanloom.plans import tables
 from spanloom.sources import synth
 
@@ -48,3 +48,20 @@ def test_similar_models_meet_only_the_first_of_each_reference(spark):
 
     joins(out._jdf.queryExecution().executedPlan())
     assert met and max(met) <= 20_000
+
+
+def test_renames_that_are_sure_do_not_meet_more_distant_names(spark, monkeypatch):
+    """40 renamed models of like names and columns, each with one that has its reference: no other pair is scored."""
+    seen, own = [], match.scored
+
+    def counted(pairs, threshold):
+        out = own(pairs, threshold)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(match, "scored", counted)
+    schema = "name string, layer string, refs array<string>, sources array<struct<schema: string, table: string>>, columns array<string>, content_hash string, hash string"
+    models = lambda p, end: spark.createDataFrame([(f"int_m{100 + k}{end}", "intermediate", [f"r{k}"], [], ["a", "b"], f"{p}{k}", f"{p}h{k}") for k in range(40)], schema)
+    got = {r["name"]: r["match_name"] for r in match.renames(models("w", "s"), models("b", "")).collect()}
+    assert got == {f"int_m{100 + k}s": f"int_m{100 + k}" for k in range(40)}
+    assert sum(seen) == 40
