@@ -4,14 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
-#: Single spaces between other than white space: no pre-tokeniser here joins what stands on both sides.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_WIDE = re.compile(r"\s\s|^\s|\s$")
-
 
 class Memo:
     """word -> result, made in lists by `make`; holds at most twice `limit` words, the last used among them, and words of over `longest` characters only until the next call."""
@@ -74,8 +69,3 @@ def sliced(batches: Iterator, rows: int = 256, *, key: object = None) -> Iterato
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-
-
-def units(text: str) -> list[str]:
-    """Parts of the text that were joined by single spaces, cut only where both sides are other than white space."""
-    return _CUT.split(text) if _WIDE.search(text) else text.split(" ")

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -512,6 +513,27 @@ def test_transducer_forgets(monkeypatch):
     assert [x for t in texts for x in own.encode([t])] == [tokens.encode_ordinary(t) for t in texts]
 
 
+def test_byte_bpe_words_side_by_side():
+    """New words of known parts take few calls each; lines, marks and spaces are cut as the library cuts them."""
+    own = byte_bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    rng, parts, calls = random.Random(6), ["th", "ing", "ha", "er", "ción", "éa", "on", "wh", "ed", "ß", "que", "ach"], Counter()
+    words = list(dict.fromkeys("".join(rng.choice(parts) for _ in range(5)) for _ in range(40_000)))
+    known, new = words[:18_000], words[18_000:]
+    list(own.encode([" ".join(known)]))
+    before = sys.getprofile()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        (ids,) = own.encode([" ".join(new)])
+    finally:
+        sys.setprofile(before)
+    assert calls["call"] + calls["c_call"] < 4 * len(new)
+    tokens = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.transducer.ranks, special_tokens={})
+    assert ids == tokens.encode_ordinary(" ".join(new))
+    between = [" ", "\n", ".\n", "***", ", ", "  ", " \n ", "\n\n", "'s ", "'\n's", "²", "\x1c", "\xa0", "\u3000 ", "1", "́", ""]
+    texts = ["".join(rng.choice(between) + rng.choice(words) * rng.randrange(3) for _ in range(12)) for _ in range(500)] + ["", " ", "\n", ". .", "ab" * 4_000]
+    assert list(own.encode(texts)) == [tokens.encode_ordinary(t) for t in texts]
+
+
 def test_byte_bpe_query(spark, odd):
     got = byte_bpe.encoded_digests(odd, path=P.path("byte_bpe_50k.tiktoken"))
     assert got.count() == len(ODD) and got.where("doc_id in (3, 4)").select("n_tokens", "ids_sha256").distinct().count() == 1
