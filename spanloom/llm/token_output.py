@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import public_tokenizers
@@ -25,13 +26,15 @@ from .common import new_path
 from .memo import Memo, held, sliced, uncollected
 
 END_ID = 1
-#: Ids of a block; ids after which a chunk ends at its document's end; characters encoded at a time.
-BLOCK, CHUNK, AT_ONCE = 1 << 15, 1 << 18, 1 << 20
+#: Ids of a block; ids after which a chunk ends at its document's end; bytes of text encoded at a time.
+BLOCK, CHUNK, AT_ONCE = 1 << 15, 1 << 18, 1 << 22
 #: Stems that the tokenizer is asked for in one text.
 TOGETHER = 512
+#: Stems that a worker remembers, at most twice.
+STEMS = 600_000
 MARKS = ".,!?;:"
-#: What the tokenizer cuts lower-case ASCII text into before anything is merged (white space is what its Unicode tables say, not Python's).
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+").findall
+#: What the tokenizer cuts lower-case ASCII text into before anything is merged (white space is what its Unicode tables say, not Python's), and white space before it.
+PIECES = r"[ \t\n\x0b\x0c\r]*('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+)"
 CHUNK_SCHEMA = "shard int, chunk int, start long, n_ids long, doc_ids array<long>, lengths array<long>, planes array<binary>"
 
 
@@ -40,9 +43,9 @@ def encoder(path: str, added: bool) -> Memo:
 
 
 def _encoder(path: str, added: bool) -> Memo:
-    """Remembers the ids (little-endian unsigned 32 bits) of words. The tokenizer drops white space and joins nothing across it, and its added tokens have none inside, so a text's ids are its words' ids in order."""
+    """Remembers the ids (little-endian unsigned 32 bits) of stems. The tokenizer drops white space and joins nothing across it, and its added tokens have none inside, so a text's ids are its words' ids in order."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = not added
@@ -52,67 +55,79 @@ def _encoder(path: str, added: bool) -> Memo:
 
     last = np.zeros(1 + max(tokenizer.get_vocab(with_added_tokens=True).values()), bool)
     last[[i for t, i in tokenizer.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")]] = True
+    steps = tokenizer.normalizer, tokenizer.pre_tokenizer
 
-    def ask(words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def ask(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(stems: list[str]) -> list[bytes]:
-        """Stems of letters are asked for in one text: each ends with the one token of a word's end. Where these are not as many as the stems, one was cut, and each is asked for by itself."""
+    def together(stems: list[str]) -> dict[str, bytes]:
+        """Stems of letters are asked for in one text: each ends with the one token of a word's end. Stems of texts that do not give as many ends are left out: one was cut."""
         made = {}
-        plain = [s for s in stems if s.isalpha()]
-        for at in range(0, len(plain), TOGETHER):
-            part = plain[at : at + TOGETHER]
-            ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
-            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
-                raw = ids.tobytes()
+        for at in range(0, len(stems), TOGETHER):
+            part = stems[at : at + TOGETHER]
+            raw = ask([" ".join(part)])[0]
+            ends = (4 * (np.flatnonzero(last[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+            if len(ends) == len(part) and ends[-1] == len(raw):
                 made.update(zip(part, [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)], strict=True))
+        return made
+
+    def learn(stems: list[str]) -> list[bytes]:
+        letters = [s for s in stems if s.isalpha()]
+        made = together([s for s in letters if not s.isascii()])
+        # Lower-case ASCII letters stay as they are in all that comes before merging, and are cut at spaces only.
+        tokenizer.normalizer, tokenizer.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        try:
+            made |= together([s for s in letters if s.isascii() and s.islower()])
+        finally:
+            tokenizer.normalizer, tokenizer.pre_tokenizer = steps
         rest = [s for s in stems if s not in made]
         made.update(zip(rest, ask(rest), strict=True))
         return [made[s] for s in stems]
 
-    stems = Memo(learn)
+    return Memo(learn, STEMS)
+
 
-    def cut(word: str) -> list[str]:
-        # Added tokens are found in the text as it is written: words with '<|' are left to the library, which finds '<|endoftext|>' but not '<|ENDOFTEXT|>'.
-        if "<|" in word:
-            return [word]
-        # Case is folded.
-        if word.isascii():
-            word = word.lower()
-            return [word] if word.isalpha() else PIECES(word)
-        # Letters are cut from a mark after them before anything is merged.
-        return [word[:-1], word[-1]] if word[-1] in MARKS and word[:-1].isalpha() else [word]
+def cut(words: pa.Array) -> pa.Array:
+    """The stems of each word, in order; empty ones have no ids."""
+    # Added tokens are found in the text as it is written: words with '<|' are left to the library, which finds '<|endoftext|>' but not '<|ENDOFTEXT|>'.
+    own = pc.invert(pc.match_substring(words, "<|"))
+    plain = pc.and_(own, pc.string_is_ascii(words))
+    # Case is folded.
+    out = pc.if_else(plain, pc.ascii_lower(words), words)
+    mixed = pc.and_(plain, pc.invert(pc.ascii_is_alpha(words)))
+    out = pc.replace_with_mask(out, mixed, pc.replace_substring_regex(out.filter(mixed), PIECES, r"\1 "))
+    # Letters are cut from a mark after them before anything is merged, if they are still letters by then ('İ' becomes two characters).
+    marked = pc.and_(pc.and_not(own, plain), pc.match_substring_regex(words, f"[{MARKS}]$"))
+    ends = [f"{w[:-1]} {w[-1]}" if normalize("NFC", w[:-1]).lower().isalpha() else w for w in out.filter(marked).to_pylist()]
+    return pc.split_pattern(pc.replace_with_mask(out, marked, pa.array(ends, out.type)), " ")
 
-    def make(words: list[str]) -> list[bytes]:
-        pieces = [cut(w) for w in words]
-        known = stems.learn([p for own in pieces for p in own])
-        return [known[own[0]] if len(own) == 1 else b"".join(map(known.__getitem__, own)) for own in pieces]
 
-    return Memo(make)
+def taken(raw: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """raw holds stretches of these lengths, one after the other: those named by `which`, in its order, and where each begins, and the last ends."""
+    first, n = np.cumsum(length) - length, length[which]
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    return raw[np.repeat(first[which] - bounds[:-1], n) + np.arange(bounds[-1])], bounds
 
 
-def encode(texts: list[str | None], path: str, *, added: bool = False) -> Iterator[bytes]:
+def encode(texts: list[str | None] | pa.Array, path: str, *, added: bool = False) -> Iterator[bytes]:
     """Ids of each text, packed. Null is encoded as empty. added: strings of added tokens in a text are these tokens, as by the library's default; else they are ordinary text."""
     memo, at = encoder(path, added), 0
+    texts = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy())
     while at < len(texts):
-        start, size = at, 0
-        while at < len(texts) and size < AT_ONCE:
-            size += len(texts[at] or "")
-            at += 1
-        lines = pc.replace_substring(pa.array([t or "" for t in texts[start:at]], pa.large_string()), "\n", " ")
-        split = pc.split_pattern(lines, " ")
-        # Each distinct word is looked up once; the texts' ids are then gathered by the words' places.
-        coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = memo.learn(words)
-        made = [known[w] for w in words]
-        length = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        first, word = np.cumsum(length) - length, coded.indices.to_numpy()
-        n = length[word]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        raw = np.frombuffer(b"".join(made), "<u4")[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        stops = (4 * ends[split.offsets.to_numpy()]).tolist()
+        stop = 1 + int(np.searchsorted(sizes, AT_ONCE + (sizes[at - 1] if at else 0)))
+        words = pc.split_pattern(pc.replace_substring(texts[at:stop], "\n", " "), " ")
+        at = stop
+        # Each distinct word is cut once, each distinct stem looked up once; ids are then gathered by the places of stems in words, and of words in texts.
+        word = words.values.dictionary_encode()
+        stems = cut(word.dictionary)
+        stem = stems.values.dictionary_encode()
+        names = stem.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = memo.learn(names)
+        made = [known[s] for s in names]
+        ids, bounds = taken(np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made)) // 4, stem.indices.to_numpy())
+        ids, bounds = taken(ids, np.diff(bounds[stems.offsets.to_numpy()]), word.indices.to_numpy())
+        raw, stops = ids.tobytes(), (4 * bounds[words.offsets.to_numpy()]).tolist()
         yield from (raw[s:e] for s, e in zip(stops, stops[1:], strict=False))
 
 
@@ -163,17 +178,17 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str = "doc_
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "chunk", "start", "n_ids", "doc_ids", "lengths", "planes"])
 
         held = 0
-        for b in sliced(batches, key=("encoder", tokenizer, True)):
+        for b in sliced(batches, 1024, key=("encoder", tokenizer, True)):
             shard = b.column("shard")[0].as_py() if b.num_rows else shard
+            # Ids are taken as they are made: those of a few MB of text are held at a time, and what the next chunk has.
             with uncollected():
-                encoded = list(encode(b.column("text").to_pylist(), tokenizer, added=True))
-            for name, made in zip(b.column("doc_id").to_pylist(), encoded, strict=True):
-                names.append(name)
-                ids.append(made + end)
-                held += len(made) // 4 + 1
-                if held >= CHUNK:
-                    yield packed()
-                    chunk, start, held, ids, names = chunk + 1, start + held, 0, [], []
+                for name, made in zip(b.column("doc_id").to_pylist(), encode(b.column("text"), tokenizer, added=True), strict=True):
+                    names.append(name)
+                    ids.append(made + end)
+                    held += len(made) // 4 + 1
+                    if held >= CHUNK:
+                        yield packed()
+                        chunk, start, held, ids, names = chunk + 1, start + held, 0, [], []
         if ids:
             yield packed()
 

@@ -208,6 +208,39 @@ def test_token_ids_ask_the_tokenizer_for_stems_together(monkeypatch):
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_token_ids_look_up_each_stem_of_a_batch_once(monkeypatch):
+    """Words that differ in case or in what follows them are cut by columns; only their stems are looked up, each once."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(13)
+    stems = list({"".join(rnd.choices("abcdefgh", k=9)) for _ in range(400)})
+    texts = [" ".join(form(s) + end for s in stems) for form in (str, str.title, str.upper) for end in ("", ".", ",", "'s", "\t\r")]
+    looked = []
+
+    class Counted(token_output.Memo):
+        def learn(self, words):
+            looked.extend(words)
+            return super().learn(words)
+
+    monkeypatch.setattr(token_output, "Memo", Counted)
+    monkeypatch.setattr(token_output, "held", lambda key, make: make())
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_output.encode(texts, path, added=True)]
+    assert len(looked) < 2 * len(stems)
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_ids_of_letters_that_come_apart_before_a_mark():
+    """Folded or composed, these letters end with a mark of their own, to which the library joins what follows."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["\u0130,", "x \u0130! y", "\ufb1d.", "a\u0958; b", "É, ß."]
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_output.encode(texts, path, added=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 24))
