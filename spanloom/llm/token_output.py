@@ -30,8 +30,8 @@ END_ID = 1
 BLOCK, CHUNK, AT_ONCE = 1 << 15, 1 << 18, 1 << 22
 #: Stems that the tokenizer is asked for in one text.
 TOGETHER = 512
-#: Stems that a worker remembers, at most twice.
-STEMS = 600_000
+#: Stems that a worker remembers, at most twice, and characters of the longest that it does.
+STEMS, LONGEST = 600_000, 64
 MARKS = ".,!?;:"
 #: What the tokenizer cuts lower-case ASCII text into before anything is merged (white space is what its Unicode tables say, not Python's), and white space before it.
 PIECES = r"[ \t\n\x0b\x0c\r]*('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+)"
@@ -84,7 +84,7 @@ def _encoder(path: str, added: bool) -> Memo:
         made.update(zip(rest, ask(rest), strict=True))
         return [made[s] for s in stems]
 
-    return Memo(learn, STEMS)
+    return Memo(learn, STEMS, LONGEST)
 
 
 def cut(words: pa.Array) -> pa.Array:

@@ -231,6 +231,21 @@ def test_token_ids_look_up_each_stem_of_a_batch_once(monkeypatch):
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_token_ids_forget_long_stems(monkeypatch):
+    """Blobs without a space are not remembered beyond their batch, or a worker's memory would grow with them."""
+    from tokenizers import Tokenizer
+
+    path, made = P.path("word_bpe_49k.json"), []
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_output, "AT_ONCE", 3_000)
+    monkeypatch.setattr(token_output, "held", lambda key, make: made.append(make()) or made[0])
+    rnd = random.Random(14)
+    texts = ["".join(rnd.choices("abcdefghé", k=2_000)) + " word" for _ in range(20)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_output.encode(texts, path, added=True)]
+    assert sum(map(len, made[0].young)) < 10_000
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_ids_of_letters_that_come_apart_before_a_mark():
     """Folded or composed, these letters end with a mark of their own, to which the library joins what follows."""
     from tokenizers import Tokenizer
