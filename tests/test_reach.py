@@ -149,3 +149,43 @@ def test_levels_send_nothing_through_the_driver(spark, monkeypatch):
     models = spark.createDataFrame([(n, "staging", "model", r, []) for n, r in refs.items()], MODEL)
     assert {r["name"]: r["level"] for r in graph.levels(models).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_edges_of_views_are_lists(spark, monkeypatch):
+    """Cycles, shortcuts past a focus, and a model that is stood for, against sets; in slices of 3 foci, and in one. On a chain no round writes more rows than there are nodes."""
+    rnd = random.Random(6)
+    names = [f"m{k:02d}" for k in range(26)]
+    refs = {n: sorted({rnd.choice(names[:k]) for _ in range(rnd.randrange(4))} | ({"gone"} if k % 9 == 4 else set())) if k else [] for k, n in enumerate(names)}
+    for a, b in (("m05", "m09"), ("m09", "m05"), ("m20", "m21"), ("m21", "m20"), ("m21", "m22"), ("m22", "m20"), ("m13", "m13")):
+        refs[a] = sorted({*refs[a], b})
+    refs["m25"] = []
+    models = spark.createDataFrame([(n, "staging", "model", r, []) for n, r in refs.items()], MODEL)
+    stands_for = {"m07": "m24", "m11": "m25", "m21": "m03"}
+    foci = [n for k, n in enumerate(names) if k % 3 or n in stands_for]
+    item = "name string, match_name string, status string, policy_action string, add_items array<struct<kind: string, name: string>>"
+    items = spark.createDataFrame([(n, stands_for.get(n), "NOVO" if n == "m20" else "ALTERADO", "append", [("referência", refs[n][0])] if refs[n] else []) for n in foci], item)
+    edges = [(r, n) for n, rs in refs.items() for r in rs]
+    down, up = reached(edges), reached([(b, a) for a, b in edges])
+    want = set()
+    for f in foci:
+        view = {f, *down.get(f, ()), *up.get(f, ()), stands_for.get(f, f)}
+        want |= {(f, a, b, "new" if b == "m20" or (b in foci and a == refs[b][0]) else "exist") for a, b in edges if a in view and b in view}
+    roots = items.select(items["name"].alias("focus"))
+    for size in (3, reach.SLICE):
+        monkeypatch.setattr(reach, "SLICE", size)
+        got = [tuple(r) for r in views.macro_edges(items, models, roots).select("focus", "source", "target", "kind").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    wrote, own = [], reach.written
+
+    def counted(df, tag):
+        out = own(df, tag)
+        wrote.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(reach, "written", counted)
+    monkeypatch.setattr(views, "written", counted)
+    names = [f"c{k}" for k in range(9)]
+    models = spark.createDataFrame([(n, "staging", "model", names[k - 1 : k] if k else [], []) for k, n in enumerate(names)], MODEL)
+    items = spark.createDataFrame([(n, None, "ALTERADO", "append", []) for n in names], item)
+    assert views.macro_edges(items, models, items.select(items["name"].alias("focus"))).count() == 9 * 8
+    assert sum(n for tag, n in wrote if tag in ("reach", "views")) == 2 * 9
