@@ -65,3 +65,34 @@ def test_renames_that_are_sure_do_not_meet_more_distant_names(spark, monkeypatch
     got = {r["name"]: r["match_name"] for r in match.renames(models("w", "s"), models("b", "")).collect()}
     assert got == {f"int_m{100 + k}s": f"int_m{100 + k}" for k in range(40)}
     assert sum(seen) == 40
+
+
+def test_renames_of_equal_models_are_taken_without_their_pairs(spark, monkeypatch):
+    """Against all pairs, best first; 40 models that differ in their names only, with 40 like them, are not scored in pairs (1,600), also where few tries are made."""
+    schema = "name string, layer string, refs array<string>, sources array<struct<schema: string, table: string>>, columns array<string>, content_hash string, hash string"
+    alike = lambda end: [(f"stg_m{k}{end}", "staging", [], [("raw", "t")], ["a", "b"], "same", "same") for k in range(100, 140)]
+    other = lambda p, n: [(f"{p}{k * 37 % 101}_x{k}", "staging", [f"r{k % 3}"], [("raw", "t")] if k % 2 else [], ["a", "b", "c"][: 1 + k % 3], f"t{k % 5}", f"h{k % 4}") for k in range(n)]
+    work, base = alike("s") + other("int_", 12), alike("") + other("fct_q", 14)
+    table = lambda rows: spark.createDataFrame(rows, schema)
+    every = match.side(table(work), "w").crossJoin(match.side(table(base), "b"))
+    score = {(r["name"], r["match_name"]): r["score"] for r in match.scored(every, match.THRESHOLD).collect()}
+    left, right, want = set(), set(), {}
+    for (a, b), x in sorted(score.items(), key=lambda p: (-p[1], p[0])):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            want[a] = (b, round(x, 3))
+    seen, own = [], match.scored
+
+    def counted(pairs, threshold):
+        out = own(pairs, threshold)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(match, "scored", counted)
+    for tries in (300, 2):
+        monkeypatch.setattr(match, "MOST_TRIES", tries)
+        seen.clear()
+        assert {r["name"]: (r["match_name"], r["score"]) for r in match.renames(table(work), table(base)).collect()} == want
+        assert sum(seen) < 500
+    assert len(score) > 1600 and len(want) > 42
